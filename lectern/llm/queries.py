@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, urlfilter
+from . import bpe, chat, crf, decontam, quality, tokenfile, urlfilter, warc
 from .common import materialise
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
+
+
+def op2_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in the file format, as read back from the files."""
+    file = tokenfile.write(_table(spark, sf_dir, "documents"), WORD_BPE, END_ID)
+    return tokenfile.read_documents(file).withColumnRenamed("id", "doc_id")
+
+
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -117,15 +127,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontam.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, m, list_slice(ws, i, i + m - 1) AS w FROM (
+    SELECT item, ws, least(13, len(ws)) AS m, unnest(generate_series(1, len(ws) - least(13, len(ws)) + 1)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT m FROM wins),
+g AS (
+  SELECT r, i, m, list_slice(ws, i, i + m - 1) AS w FROM (
+    SELECT r, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM d, sizes WHERE len(ws) >= m)),
+hits AS (SELECT g.r, g.i, g.m, wins.item FROM g JOIN wins ON g.m = wins.m AND g.w = wins.w),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + m - 1)) AS p FROM hits) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
+"""
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives."""
+    archive = materialise(warc.records(warc.plan(_table(spark, sf_dir, "pages"))), "warc")
+    return warc.read(archive)
+
+
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out marks and quality scores of every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = crf.train(docs, labels)
+    scored = crf.score_table(docs, model)
+    return scored.select("doc_id", (F.coalesce(crf.fold(F.col("doc_id")), F.lit(1)) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_tokenfile": op2_tokenfile,
     "op3_urls": op3_urls,
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
+    "op9_warc": op9_warc,
+    "op10_classifier": op10_classifier,
 }
 
 ORACLES: dict[str, str] = {
     "op3_urls": OP3_SQL,
     "op4_chat": OP4_SQL,
     "op5_quality": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
 }
