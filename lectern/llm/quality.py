@@ -93,17 +93,17 @@ def features(text: Column) -> dict[str, Column]:
 def host_rates(judged: DataFrame) -> DataFrame:
     """(host, failed) rows to hosts with their shrunk failure rates.
 
-    Only one row of moments meets all hosts.
+    Only one row of moments reaches the driver.
     """
     hosts = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
     rate = F.col("f") / F.col("n")
-    sums = hosts.agg(F.sum("n").alias("all_n"), F.sum("f").alias("all_f"), F.count("*").alias("k"), F.sum(F.col("n") * rate * rate).alias("squares"))
-    mean = F.col("all_f") / F.col("all_n")
-    between = F.greatest(F.col("squares") / F.col("all_n") - mean * mean - mean * (1 - mean) * F.col("k") / F.col("all_n"), F.lit(1e-9))
-    strength = F.greatest(mean * (1 - mean) / between - 1, F.lit(2.0))
-    prior = sums.select(F.lit(1).alias("one"), (mean * strength).alias("alpha"), strength.alias("strength"))
-    met = hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one")
-    return met.select("host", "n", "f", ((F.col("f") + F.col("alpha")) / (F.col("n") + F.col("strength"))).alias("rate"))
+    k, total, failed, squares = hosts.agg(F.count("*"), F.sum("n"), F.sum("f"), F.sum(F.col("n") * rate * rate)).first()
+    if not k:
+        return hosts.withColumn("rate", F.lit(0.0))
+    mean = failed / total
+    between = max(squares / total - mean * mean - mean * (1 - mean) * k / total, 1e-9)
+    strength = max(mean * (1 - mean) / between - 1, 2.0)
+    return hosts.withColumn("rate", (F.col("f") + mean * strength) / (F.col("n") + strength))
 
 
 def join_hosts(docs: DataFrame, host: str, rates: DataFrame, max_rate: float = HOST_RATE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
