@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crf, decontam, neardup, quality, tokenfile, urlfilter, warc
+from . import bpe, chat, crf, decontam, lm, neardup, quality, tokenfile, urlfilter, warc
 from .common import materialise
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -161,6 +161,11 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document."""
+    return lm.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, as read back from the archives."""
     archive = materialise(warc.records(warc.plan(_table(spark, sf_dir, "pages"))), "warc")
@@ -183,6 +188,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_neardup": op7_neardup,
+    "op8_lm": op8_lm,
     "op9_warc": op9_warc,
     "op10_classifier": op10_classifier,
 }
