@@ -281,3 +281,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     of_class = named.join(smallest, "root").select(F.col("class").alias("c_class"), "component_id")
     out = every.select("id", "n", "class").join(of_class, F.col("class") == F.col("c_class"), "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+#: Ids of dropped documents up to this count are broadcast, some 20 MB; more are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **more) -> DataFrame:
+    """One document of each class, in the columns of the input.
+
+    Rows that repeat an id with its text count as copies of one another.
+    """
+    found = materialise(classes(docs, id_col, text_col, **more).select("id", "component_id", (F.col("n_shingles") > 0).alias("filled")), "classes")
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_lx_id")).distinct()
+    if gone.count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_lx_id")), "left_anti")
+    repeated = found.where("filled").groupBy("id").count().where("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates([id_col, text_col])
