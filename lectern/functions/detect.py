@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lines, prefix, trim
+from .text import let, lines, prefix, trim
 
 #: The patterns of each type, as regular expressions.
 SEARCH = r"^[^\s:]+:\d+:"
@@ -61,39 +61,49 @@ def _filled(rows: Column) -> Column:
 
 def json_confidence(text: Column) -> Column:
     own = trim(text)
-    items = F.when(own.startswith("[") & F.try_parse_json(own).isNotNull(), F.try_variant_get(F.try_parse_json(own), "$", "array<variant>"))
-    objects = (F.size(items) > 0) & F.forall(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    return F.when(items.isNull(), 0.0).when(objects, 1.0).otherwise(0.8)
+
+    def of(items: Column) -> Column:
+        objects = (F.size(items) > 0) & F.forall(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+        return F.when(items.isNull(), 0.0).when(objects, 1.0).otherwise(0.8)
+
+    return F.when(own.startswith("["), let(F.try_variant_get(F.try_parse_json(own), "$", "array<variant>"), of)).otherwise(0.0)
 
 
 def diff_confidence(text: Column) -> Column:
-    rows = lines(text, DIFF_LINES)
-    h, c = _counted(rows, DIFF_HEADER), _counted(rows, DIFF_CHANGE)
-    return F.when(h == 0, 0.0).otherwise(_one(0.5 + 0.2 * h + 0.05 * c))
+    def of(rows: Column) -> Column:
+        some = lambda h: F.when(h == 0, 0.0).otherwise(_one(0.5 + 0.2 * h + 0.05 * _counted(rows, DIFF_CHANGE)))
+        return let(_counted(rows, DIFF_HEADER), some)
+
+    return let(lines(text, DIFF_LINES), of)
 
 
 def html_confidence(text: Column) -> Column:
-    head = prefix(text, HTML_BYTES)
-    doctype, html = head.rlike(HTML_DOCTYPE), head.rlike(HTML_HTML)
-    parts = F.regexp_count(head, F.lit(HTML_PART))
     has = lambda p, w: F.when(p, w).otherwise(0.0)
-    total = has(doctype, 0.5) + has(html, 0.3) + has(head.rlike(HTML_HEAD), 0.1) + has(head.rlike(HTML_BODY), 0.1) + F.least(0.03 * parts, F.lit(0.3))
-    return F.when(~(doctype | html | (parts >= 3)) | (total < 0.5), 0.0).otherwise(_one(total))
+
+    def of(x: Column) -> Column:
+        total = has(x["doctype"], 0.5) + has(x["html"], 0.3) + has(x["head"], 0.1) + has(x["body"], 0.1) + F.least(0.03 * x["parts"], F.lit(0.3))
+        return F.when(~(x["doctype"] | x["html"] | (x["parts"] >= 3)) | (total < 0.5), 0.0).otherwise(_one(total))
+
+    def found(head: Column) -> Column:
+        return let(F.struct(head.rlike(HTML_DOCTYPE).alias("doctype"), head.rlike(HTML_HTML).alias("html"), head.rlike(HTML_HEAD).alias("head"), head.rlike(HTML_BODY).alias("body"), F.regexp_count(head, F.lit(HTML_PART)).alias("parts")), of)
+
+    return let(prefix(text, HTML_BYTES), found)
 
 
 def search_confidence(text: Column) -> Column:
-    rows = lines(text, SEARCH_LINES)
-    share = _counted(rows, SEARCH) / F.greatest(_filled(rows), F.lit(1))
-    return F.when(share < 0.3, 0.0).otherwise(_one(0.4 + 0.6 * share))
+    share = let(lines(text, SEARCH_LINES), lambda rows: _counted(rows, SEARCH) / F.greatest(_filled(rows), F.lit(1)))
+    return let(share, lambda s: F.when(s < 0.3, 0.0).otherwise(_one(0.4 + 0.6 * s)))
 
 
 def log_confidence(text: Column) -> Column:
-    rows = lines(text, LOG_LINES)
-    alone = F.filter(rows, lambda x: F.length(trim(x)) > 0)
-    n = F.greatest(F.size(alone), F.lit(1))
-    share = _counted(alone, "|".join(f"(?:{p})" for p in LOG)) / n
-    errors = _counted(alone, "|".join(f"(?:{p})" for p in LOG[:2]))
-    return F.when(share < 0.1, 0.0).otherwise(_one(0.3 + 0.5 * share + 0.05 * errors))
+    alone = F.filter(lines(text, LOG_LINES), lambda x: F.length(trim(x)) > 0)
+
+    def of(rows: Column) -> Column:
+        errors = _counted(rows, "|".join(f"(?:{p})" for p in LOG[:2]))
+        share = _counted(rows, "|".join(f"(?:{p})" for p in LOG)) / F.greatest(F.size(rows), F.lit(1))
+        return let(share, lambda s: F.when(s < 0.1, 0.0).otherwise(_one(0.3 + 0.5 * s + 0.05 * errors)))
+
+    return let(alone, of)
 
 
 def _first(rows: Column, pattern: str) -> Column:
@@ -101,32 +111,35 @@ def _first(rows: Column, pattern: str) -> Column:
     return F.array_position(F.transform(rows, lambda x: x.rlike(pattern)), True)
 
 
-def code_scores(text: Column) -> Column:
-    """(score, minus the first scoring line, minus the list place, language) of each language."""
-    rows = lines(text, CODE_LINES)
-    each = []
-    for k, (language, patterns) in enumerate(CODE.items()):
-        hit = "|".join(f"(?:{p})" for p in patterns)
-        first = _first(rows, hit)
-        each.append(F.struct(_counted(rows, hit).alias("score"), (-first).alias("first"), F.lit(-k).alias("place"), F.lit(language).alias("language")))
-    return F.array_max(F.array(*each))
+def code_best(text: Column) -> Column:
+    """Struct of score, language and confidence of the language that most lines show.
+
+    Of equal scores the language seen first wins, then the first in the list.
+    """
 
+    def of(rows: Column) -> Column:
+        each = []
+        for k, (language, patterns) in enumerate(CODE.items()):
+            hit = "|".join(f"(?:{p})" for p in patterns)
+            each.append(F.struct(_counted(rows, hit).alias("score"), (-_first(rows, hit)).alias("first"), F.lit(-k).alias("place"), F.lit(language).alias("language")))
+        sure = lambda b: F.when(b["score"] < 3, 0.0).otherwise(_one(0.4 + 0.4 * b["score"] / F.greatest(_filled(rows), F.lit(1)) + 0.02 * b["score"]))
+        return let(F.array_max(F.array(*each)), lambda b: F.struct(b["score"].alias("score"), b["language"].alias("language"), sure(b).alias("confidence")))
 
-def code_confidence(text: Column, best: Column) -> Column:
-    filled = F.greatest(_filled(lines(text, CODE_LINES)), F.lit(1))
-    return F.when(best["score"] < 3, 0.0).otherwise(_one(0.4 + 0.4 * best["score"] / filled + 0.02 * best["score"]))
+    return let(lines(text, CODE_LINES), of)
 
 
 def detect(text: Column) -> Column:
-    """Struct of content_type, confidence and language."""
-    best = code_scores(text)
-    checks = [("diff", diff_confidence(text)), ("html", html_confidence(text)), ("search", search_confidence(text)), ("build", log_confidence(text)), ("source_code", code_confidence(text, best))]
-    json = json_confidence(text)
-    result = lambda kind, confidence, language=None: F.struct(F.lit(kind).alias("content_type"), F.round(confidence.cast("double"), 9).alias("confidence"), (language if language is not None else F.lit(None).cast("string")).alias("language"))
-    out = F.when(F.length(trim(F.coalesce(text, F.lit("")))) == 0, result("text", F.lit(0.0))).when(json > 0, result("json_array", json))
-    for kind, confidence in checks:
-        out = out.when(confidence >= LEAST[kind], result(kind, confidence, best["language"] if kind == "source_code" else None))
-    return out.otherwise(result("text", F.lit(0.5)))
+    """Struct of content_type, confidence and language.
+
+    Each check runs only where those before it weren't sure, and once.
+    """
+    result = lambda kind, confidence, language=None: F.struct(F.lit(kind).alias("content_type"), F.round(confidence.cast("double"), 9).alias("confidence"), (F.lit(None) if language is None else language).cast("string").alias("language"))
+    sure = lambda kind, confidence, rest: let(confidence, lambda c: F.when(c >= LEAST[kind], result(kind, c)).otherwise(rest))
+    out = let(code_best(text), lambda b: F.when(b["confidence"] >= LEAST["source_code"], result("source_code", b["confidence"], b["language"])).otherwise(result("text", F.lit(0.5))))
+    for kind, check in (("build", log_confidence), ("search", search_confidence), ("html", html_confidence), ("diff", diff_confidence)):
+        out = sure(kind, check(text), out)
+    rest = let(json_confidence(text), lambda j: F.when(j > 0, result("json_array", j)).otherwise(out))
+    return F.when(F.length(trim(F.coalesce(text, F.lit("")))) == 0, result("text", F.lit(0.0))).otherwise(rest)
 
 
 def route(content_type: Column, enabled: tuple[str, ...] = ("smart_crusher", "log_stripper", "ast_code", "semantic")) -> Column:

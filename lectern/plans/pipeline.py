@@ -71,7 +71,7 @@ def routed(messages: DataFrame, config: CompressConfig = CompressConfig()) -> Da
 
 
 def reduce(rows: DataFrame, config: CompressConfig) -> DataFrame:
-    """``reduced`` and ``saved`` of routed rows; what isn't routed passes without leaving the JVM."""
+    """``reduced``, ``saved`` and ``failed`` of routed rows; a passthrough stays as it is."""
     terms, saved = focus_.terms(config.question), "array<struct<id:string,original:string>>"
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"reduced string, saved {saved}, failed string").fields])
 
@@ -83,8 +83,8 @@ def reduce(rows: DataFrame, config: CompressConfig) -> DataFrame:
             more = [pa.array([d[0] for d in done], pa.string()), pa.array([[{"id": i, "original": o} for i, o in d[1]] for d in done], kind), pa.array([d[2] for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "reduced", "saved", "failed"])
 
-    passed = rows.where(F.col("compressor") == "passthrough").withColumns({"reduced": F.col(config.content), "saved": F.array().cast(saved), "failed": F.lit(None).cast("string")})
-    return rows.where(F.col("compressor") != "passthrough").mapInArrow(run, schema).unionByName(passed)
+    # one branch for all rows: a split by compressor would detect each text again
+    return rows.mapInArrow(run, schema)
 
 
 def compress(messages: DataFrame, config: CompressConfig = CompressConfig()) -> CompressResult:
