@@ -50,11 +50,11 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(pieces, "\\")
 
 
-def _double(table: DataFrame, saved: DataFrame) -> DataFrame:
-    """Join each row's pointer to the row it points at: twice the distance."""
+def _double(open_: DataFrame, table: DataFrame) -> DataFrame:
+    """Join each pointer to the row it points at: twice the distance."""
     far = table.select(F.col("conv").alias("f_conv"), F.col("node").alias("f_node"), F.col("up").alias("f_up"), F.col("total").alias("f_total"), F.col("depth").alias("f_depth"))
-    met = saved.join(far, F.col("conv").eqNullSafe(F.col("f_conv")) & (F.col("up") == F.col("f_node")), "left")
-    return met.select("conv", "node", F.col("f_up").alias("up"), (F.col("total") + F.coalesce("f_total", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("f_depth", F.lit(0))).alias("depth"))
+    met = open_.join(far, F.col("conv").eqNullSafe(F.col("f_conv")) & (F.col("up") == F.col("f_node")))
+    return met.select("conv", "node", F.col("f_up").alias("up"), (F.col("total") + F.col("f_total")).alias("total"), (F.col("depth") + F.col("f_depth")).alias("depth"))
 
 
 def best_paths(nodes: DataFrame) -> DataFrame:
@@ -65,15 +65,17 @@ def best_paths(nodes: DataFrame) -> DataFrame:
     largest = table.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     parents = table.select(F.col("conv").alias("p_conv"), F.col("up").alias("p_node")).where("p_node is not null").distinct()
     leaves = table.join(parents, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("node") == F.col("p_node")), "left_anti").select("conv", "node")
-    jumps = []
+    # only rows that still point at an ancestor go on: a long conversation costs its own rows
+    closed, jumps, now = table.where("up is null"), [], table.where("up is not null")
     for _ in range(math.ceil(math.log2(largest)) if largest > 1 else 0):
-        jumps.append(table)
-        table = materialise(_double(table, table), "tree")
-    totals = table.where("up is null").select("conv", "node", "total", "depth")
+        jumps.append(now.select("conv", "node", "up"))
+        met = materialise(_double(now, closed.unionByName(now)), "tree")
+        closed, now = closed.unionByName(met.where("up is null")), met.where("up is not null")
+    totals = closed.select("conv", "node", "total", "depth")
     ends = leaves.withColumnsRenamed({"conv": "l_conv", "node": "l_node"}).join(totals, F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("node") == F.col("l_node"))).select("conv", "node", "total", "depth")
     marked = ends.groupBy("conv").agg(F.max_by("node", F.struct("total", "depth", -F.col("node"))).alias("node"))
     for jump in reversed(jumps):
-        to = jump.where("up is not null").select(F.col("conv").alias("j_conv"), F.col("node").alias("j_node"), "up")
+        to = jump.select(F.col("conv").alias("j_conv"), F.col("node").alias("j_node"), "up")
         up = marked.join(to, F.col("conv").eqNullSafe(F.col("j_conv")) & (F.col("node") == F.col("j_node"))).select("conv", F.col("up").alias("node"))
         marked = materialise(marked.unionByName(up), "marked")
     path = marked.withColumnsRenamed({"conv": "m_conv", "node": "m_node"})
