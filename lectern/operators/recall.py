@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +40,19 @@ def build(docs: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
     return rows.select("id", F.size("terms").cast("long").alias("len"), "preview"), postings
 
 
+_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def query_terms(query: str) -> list[str]:
     """The same terms of a query, on the driver."""
     out: list[str] = []
-    for raw in re.split(r"""[\s"'`(),;:\[\]{}=<>|!?*&@#%+~^$]+""", query):
-        token = re.sub(r"^[^\w/.\\-]+|[^\w/.\\-]+$", "", raw)
-        if sum(c.isalnum() for c in token) < 2:
+    for raw in regex.split(_PART.removeprefix("(?U)"), query):
+        token = regex.sub(_TRIM.removeprefix("(?U)"), "", raw)
+        if len(regex.findall(r"[\p{L}\p{N}]", token)) < 2:
             continue
         low = token.lower()
-        out.append(low)
-        split = re.sub(r"(?<=[^\W_A-Z])(?=[A-Z])", "/", token)
-        out += [p.lower() for p in re.split(r"[/._\\-]+", split) if len(p) >= 2 and p.lower() != low]
+        parts = regex.split(_SUB, regex.sub(r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})", "/", token))
+        out += [low, *(p for p in (x.translate(_ASCII_LOWER) for x in parts) if len(p) >= 2 and p != low)]
     return sorted(set(out))
 
 

@@ -116,7 +116,10 @@ def knee(curve: DataFrame, id_: str, idx: str, value: str) -> DataFrame:
 
 
 def format_g(value: Column) -> Column:
-    """Four significant digits; scientific from 1e4 and below 1e-4, without trailing zeros."""
+    """Four significant digits; scientific from 1e4 and below 1e-4, without trailing zeros.
+
+    Halves of the shortest decimal form round up.
+    """
     sci = F.format_string("%.3e", value.cast("double"))
     power = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
     bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
