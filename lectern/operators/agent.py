@@ -49,8 +49,13 @@ def classify(role: Column, content: Column, status: Column, tag: Column | None =
     return by_role if tag is None else F.when(F.coalesce(tag.isin(*TYPES), F.lit(False)), tag).otherwise(by_role)
 
 
-def _newest(*more: str):
-    return Window.partitionBy("conv_id", *more).orderBy(F.desc("turn"))
+def _newest():
+    return Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+
+
+def _rank(flag: Column) -> Column:
+    """Which of the flagged messages this is, from the newest on; windows by conversation alone share one shuffle."""
+    return F.sum(flag.cast("int")).over(_newest().rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def protected_tail(budget: int | None) -> Column:
@@ -69,8 +74,8 @@ def classified(messages: DataFrame) -> DataFrame:
 def recent_assistant(messages: DataFrame, keep: int = 2) -> DataFrame:
     """``recent``: the newest ``keep`` assistant messages of each conversation."""
     rows = classified(messages)
-    rank = F.row_number().over(Window.partitionBy("conv_id", F.col("type") == "assistant").orderBy(F.desc("turn")))
-    return rows.withColumn("recent", (F.col("type") == "assistant") & (rank <= keep))
+    own = F.col("type") == "assistant"
+    return rows.withColumn("recent", own & (_rank(own) <= keep))
 
 
 def preserve_counts(messages: DataFrame, keep: int = 2, tail: int | None = None) -> DataFrame:
@@ -88,8 +93,7 @@ def clear_tool_results(messages: DataFrame, policy: AgentPolicy = AgentPolicy())
     """
     rows = classified(messages).withColumn("tail", protected_tail(policy.protected_tail_tokens))
     counted = (F.col("type") == "tool_result_success") & ~F.col("pinned")
-    rank = F.row_number().over(Window.partitionBy("conv_id", counted).orderBy(F.desc("turn")))
-    stale = counted & (rank > policy.keep_tool_results) & ~F.col("tail") if policy.clear_stale else F.lit(False)
+    stale = counted & (_rank(counted) > policy.keep_tool_results) & ~F.col("tail") if policy.clear_stale else F.lit(False)
     rows = rows.withColumn("cleared", stale)
     id_ = keys.key(F.col("content"))
     named = F.when(F.coalesce(F.length("tool_name"), F.lit(0)) > 0, F.col("tool_name")).otherwise("unknown")
