@@ -138,3 +138,31 @@ def render_turns(rich: DataFrame) -> DataFrame:
     blocks = F.transform("blocks", paired)
     first = F.concat(F.filter(blocks, lambda b: b["type"] == "tool_result"), F.filter(blocks, lambda b: b["type"] != "tool_result"))
     return turns.select("conv_id", "run", "side", first.alias("blocks"))
+
+
+def canonical(rich: DataFrame) -> DataFrame:
+    """(conv_id, content_key): the key of whole conversations over roles and blocks, without metadata."""
+    part = F.concat(F.col("role"), F.lit("\x1f"), F.coalesce("text", F.lit("")), F.lit("\x1f"), F.coalesce(F.to_json("blocks"), F.lit("")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda x: x["part"]), "\x1e")
+    return rich.groupBy("conv_id").agg(F.concat(F.lit("rich-"), keys.key(joined)).alias("content_key"))
+
+
+def compact_rich(rich: DataFrame, config=None, thinking: bool = False):
+    """Compact on the flat projection first, then shorten the blocks of what was kept and isn't protected.
+
+    Returns (messages, result): folded rows are flat text, kept ones have their
+    blocks; ``result`` is that of the flat cascade.
+    """
+    from .conversation import CompactConfig, compact
+
+    result = compact(project(rich), config or CompactConfig())
+    numbered = rich.withColumn("origin", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    protected = result.reports.select("conv_id", F.explode("protected").alias("origin")).withColumn("safe", F.lit(True))
+    now = result.messages.select("conv_id", "idx", "origin", F.col("content").alias("flat"), F.col("role").alias("now_role"), F.col("ccr_id").alias("fold_id"))
+    met = now.join(numbered, ["conv_id", "origin"], "left").join(protected, ["conv_id", "origin"], "left")
+    same = F.col("origin").isNotNull() & F.col("fold_id").isNull() & (F.col("flat") == flatten(F.col("text"), F.col("blocks")))
+    met = met.withColumn("same", F.coalesce(same, F.lit(False)))
+    folded = met.where("not same").select("conv_id", "idx", F.col("now_role").alias("role"), F.col("flat").alias("text"), F.lit(None).cast(f"array<{BLOCK}>").alias("blocks"), F.col("fold_id").alias("ccr_id"), F.lit(None).cast("string").alias("original"))
+    kept = met.where("same and safe").select("conv_id", "idx", "role", "text", "blocks", F.lit(None).cast("string").alias("ccr_id"), F.lit(None).cast("string").alias("original"))
+    short = compress_blocks(met.where("same and safe is null").select("conv_id", "idx", "role", "text", "blocks"), thinking).select("conv_id", "idx", "role", "text", "blocks", "ccr_id", "original")
+    return folded.unionByName(kept).unionByName(short), result

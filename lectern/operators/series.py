@@ -133,3 +133,8 @@ def record_marker(rows: DataFrame, id_: str, idx: str, item: str) -> DataFrame:
     """(id, marker): the sentinel record of a whole array of compact records."""
     whole = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(idx, item))), lambda x: x[item]), ","), F.lit("]"))
     return rows.groupBy(id_).agg(whole.alias("whole")).select(id_, F.concat(F.lit('{"_ccr_dropped":"'), keys.marker(keys.key(F.col("whole"))), F.lit('"}')).alias("marker"))
+
+
+def format_number(value: Column) -> Column:
+    """Whole numbers below 1e16 without a point, others as :func:`format_g` has them."""
+    return F.when((value == F.floor(value)) & (F.abs(value) < 1e16), value.cast("decimal(20,0)").cast("string")).otherwise(format_g(value))

@@ -448,6 +448,18 @@ def rich_compress(spark, d):
     return rows.select("conv_id", "turn", rich.flatten(F.col("text"), F.col("blocks")).alias("flat"), "ccr_id")
 
 
+@_query()
+def rich_compact(spark, d):
+    """The flat cascade's folds, and shorter blocks in what it kept."""
+    rows, _ = rich.compact_rich(_rich(spark, d), CompactConfig(limit=900))
+    return rows.select("conv_id", "idx", "role", rich.flatten(F.col("text"), F.col("blocks")).alias("flat"), "ccr_id")
+
+
+@_query()
+def rich_keys(spark, d):
+    return rich.canonical(_rich(spark, d))
+
+
 @_query(f", {_CLEARED}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, cleared ORDER BY turn DESC) AS k FROM cl) SELECT DISTINCT key AS id FROM o WHERE cleared AND k > 5 AND key NOT IN (SELECT key FROM o WHERE cleared AND k <= 5)", (A,))
 def retention_gc(spark, d):
     """Originals that nothing refers to once each conversation keeps five stubs."""
