@@ -30,8 +30,8 @@ from tokenizers.models import BPE
 
 from .common import sub_batches
 
-#: Chunks remembered per Python worker; beyond it the memory starts anew.
-CACHE_CHUNKS = 500_000
+#: Chunks remembered per Python worker, in each of two generations.
+CACHE_CHUNKS = 150_000
 #: Longer chunks are encoded but not remembered.
 CACHE_CHARS = 48
 
@@ -71,6 +71,8 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 #: White space for Python but not for the split pattern.
+#: Marks that follow a word as one match of the pattern.
+_MARKS = "!#$%&*,.:;?|"
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _CHUNK = re.compile(r"\s*\S+|\s+")
 
@@ -94,6 +96,7 @@ class ByteBpe:
         self.decimals = [str(i) for i in range(len(self.table))]
         self._first: dict[str, tuple[int, ...]] = {}
         self._led: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one match of the pattern, by the model."""
@@ -107,14 +110,31 @@ class ByteBpe:
 
     def _led_word(self, part: str) -> tuple[int, ...]:
         """Ids of a space and ``part``, which starts and ends with other than white space."""
-        if part.isalpha():  # one match
+        body = part.rstrip(_MARKS)
+        if not body.isalpha():
+            return self._merge(" " + part)
+        if body == part:  # one match
             if part.isascii():
                 return tuple([t.id for t in self.model.tokenize(self.to_chars[0x20] + part)])
             return tuple(self._piece(" " + part))
-        if part[-1] in ",." and part[:-1].isalpha():  # a word and a mark: two matches
-            body = self._led.get(part[:-1]) or self._remember(self._led, part[:-1], self._led_word(part[:-1]))
-            return (*body, *self._piece(part[-1]))
-        return self._merge(" " + part)
+        # a word and marks: two matches
+        return (*self._led_ids(body), *self._marks(part[len(body) :]))
+
+    def _marks(self, run: str) -> tuple[int, ...]:
+        return self._first.get(run) or self._remember(self._first, run, tuple(self._piece(run)))
+
+    def _led_ids(self, part: str) -> tuple[int, ...]:
+        """Ids of a space and ``part``, remembered."""
+        ids = self._led.get(part)
+        if ids is None:
+            if len(self._led) >= CACHE_CHUNKS:
+                self._old, self._led = self._led, {}
+            ids = self._old.get(part)
+            if ids is None:
+                ids = tuple(map(self._ints.__getitem__, self._led_word(part)))  # ids shared between entries
+            if len(part) <= CACHE_CHARS:
+                self._led[part] = ids
+        return ids
 
     def _remember(self, cache: dict, key: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(key) <= CACHE_CHARS:
@@ -142,7 +162,7 @@ class ByteBpe:
                     return self._by_chunk(text)  # a space beside other white space
                 if _CONTROL.search(part):
                     return list(self._merge(text))
-                found[i] = self._remember(self._led, part, self._led_word(part)) if i else self._remember(self._first, part, self._merge(part))
+                found[i] = self._led_ids(part) if i else self._remember(self._first, part, self._merge(part))
         return list(chain.from_iterable(found))
 
     def _by_chunk(self, text: str) -> list[int]:

@@ -120,7 +120,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, block_tokens: int = BLOC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, block = TaskContext.get().partitionId(), 0, _Block()
-        for batch in sub_batches(batches, "text"):
+        for batch in sub_batches(batches, "text", max_bytes=4 << 20):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 words.append(END)
