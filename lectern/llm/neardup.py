@@ -231,20 +231,20 @@ def prefix_pairs(members: DataFrame, shingle: int, percent: int) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     every = materialise(sketches(docs, id_col, text_col, shingle), "sketches")
-    own = every.where("n > 0")
-    reps = own.groupBy("class").agg(F.min("id").alias("rep"))
-    # rows of one class have equal bands: a bucket's members are classes
+    # copies come together first, task by task, and count once from here on
+    own = every.where("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    own = materialise(own, "distinct")
+    reps = own.select("class", "rep")
     banded = own.select("class", F.explode("bands").alias("bucket"))
     if_many = banded.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
-    members = materialise(banded.join(if_many, "bucket").distinct(), "buckets")
+    members = materialise(banded.join(if_many, "bucket"), "buckets")
     sized = members.groupBy("bucket").agg(F.count("*").alias("members"))
     degree = members.join(sized, "bucket").groupBy("class").agg(F.sum("members").alias("degree"))
     led = members.join(degree, "class").withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "class"))).where(F.col("at") <= LEADERS)
     leaders = led.select("bucket", F.col("class").alias("leader"))
     met = members.join(leaders, "bucket").where("class <> leader")
     pairs = met.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
-    sketch = own.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    sketch = materialise(sketch, "candidates")
+    sketch = own.select("class", "sketch", "n")
     near = pairs.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n").alias("a_n")), "a")
     near = near.join(sketch.select(F.col("class").alias("b"), F.col("sketch").alias("b_sketch"), F.col("n").alias("b_n")), "b")
     differing = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
