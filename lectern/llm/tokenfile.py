@@ -17,7 +17,6 @@ read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -139,12 +138,17 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     return ids
 
 
-_CONTROL = re.compile(r"[\x1c-\x1f]")  # white space for Python, not for the tokenizer
+_CONTROL = "\x1c\x1d\x1e\x1f"  # white space for Python, not for the tokenizer
+#: Marks that follow a word as one match of the split pattern.
+_MARKS = "!#$%&*,.:;?|"
 
 
 def _lower(text: str) -> str:
     """Lower case as the tokenizer has it, or the text as it is where that depends on neighbours."""
-    return text.lower() if text.isascii() or is_normalized("NFC", text) and "\u03a3" not in text else text
+    if text.isascii():
+        return text.lower()
+    low = text.lower()
+    return low if "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low) else text
 
 
 class WordEncoder:
@@ -158,19 +162,24 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self._at: dict[str, int] = {}
+        self._runs: dict[str, list[int]] = {}
         self._flat = np.zeros(0, np.int32)
         self._ends = np.zeros(1, np.int64)
 
     def _word(self, word: str) -> list[int] | None:
-        """Ids of a word of letters, with a mark after it or not: one or two matches of the split pattern."""
-        if word != word.lower() or not word.isascii() and not is_normalized("NFC", word):
-            return None
-        body = word if word.isalpha() else word[:-1]
-        if not body.isalpha() or body is not word and word[-1] not in ",.!|":
+        """Ids of a word of letters, with marks after it or not: one or two matches of the split pattern."""
+        body = word.rstrip(_MARKS)
+        if not body.isalpha() or word != word.lower() or not word.isascii() and not is_normalized("NFC", word):
             return None
         chars = body if body.isascii() else body.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._chars)
         ids = [t.id for t in self._tokenize(chars)]
-        return ids if body is word else ids + [t.id for t in self._tokenize(word[-1])]
+        return ids if body == word else ids + self._marks(word[len(body) :])
+
+    def _marks(self, run: str) -> list[int]:
+        """Ids of a run of marks; there are few different ones."""
+        if run not in self._runs:
+            self._runs[run] = [t.id for t in self._tokenize(run)]
+        return self._runs[run]
 
     def _learn(self, missing: list[str]) -> list[list[int]]:
         found = list(map(self._word, missing))
@@ -181,7 +190,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        rows = [[t] if _CONTROL.search(t) else _lower(t).split() for t in texts]
+        rows = [[t] if any(c in t for c in _CONTROL) else _lower(t).split() for t in texts]
         if len(self._at) > CACHE_WORDS:
             self._clear()
         known, fresh = self._at, {}
@@ -234,7 +243,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], encoder: WordEncoder, end_id: int
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["part", "block", "start_in_part", "n_ids", "docs", "counts", "words", "offsets", "escapes"])
 
-    for batch in sub_batches(batches, "text"):
+    for batch in sub_batches(batches, "text", max_bytes=4 << 20):
         ids, sizes = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         for i, doc in enumerate(batch.column(0).to_pylist()):
