@@ -9,27 +9,29 @@ and no table of all words is held in one place.
 The automaton's events are the training words and one for all unknown words,
 as in the base score.  Its states and weighted arcs:
 
-*   a state for each word of at least ``WORD_SHARE`` of all tokens, with bigram
-    arcs h -> w for pairs of at least ``PAIR_SHARE``, discounted;
+*   a state for each word, with bigram arcs h -> w for all pairs that occur at
+    least ``PAIR_COUNT`` times in the training texts, discounted;
 *   where h has no arc for w, a failure arc to the root with the weight that
     leaves the whole normalised;
 *   from the root an arc for every word, discounted by its count class, and one
     for unknown words with what the discounts leave.
 
-The root's arcs never come together: their weights follow from the counts that
-each block gets back.  Shares bound the rest at any corpus size, at most
-1 / WORD_SHARE states and 1 / PAIR_SHARE bigram arcs; they are relative, so all
-pairs of the corpus are counted and the model is the same kind at every size.
+No part of it comes together in one place.  The root's weights follow from the
+counts that each block gets back.  Pairs go to shards by their own hashes and
+come back as corpus counts in the same way; the shard names one block for each
+arc, which adds it to its history's sums.  These go to shards by word, and the
+failure weights come back to every block that has the word.  So the arcs grow
+with the corpus, and every task holds a block or a shard.
 
-With one word of history, the state after a word is that word or the root; so
-the traversal of a block, carried from left to right, is an array expression
-over words and their predecessors.
+With one word of history, the state after a word is that word; so the traversal
+of a block, carried from left to right, is an array expression over words and
+their predecessors.
 
 Defined results: null texts count as empty and are one end token; documents
 whose id is null are training documents; with no training tokens the base
 score is that of an empty count table and every word is the unknown one;
 repeated rows count each; an empty table gives an empty result; other columns
-are not read.  Words are told apart by 64-bit hashes.
+are not read.  Words and pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -46,19 +48,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, sub_batches
+from .neardup import _mix
 
 FOLDS = 10
 #: Tokens of a block of documents; a longer document is a block of its own.
 BLOCK_TOKENS = 1_500_000
-#: Least shares of all training tokens of word states and bigram arcs.
-WORD_SHARE = 1e-6
-PAIR_SHARE = 5e-6
+#: Least training count of a bigram arc, at any corpus size.
+PAIR_COUNT = 2
 #: Discount of bigram arcs.
 DISCOUNT = 0.6
 #: The base score's addition to each count.
 BASE_ADD = 0.1
-#: Words of one shard of the hash space, about.
+#: Words, and tokens with their pairs, of one shard of the hash space, about.
 SHARD_WORDS = 400_000
+SHARD_TOKENS = 2_000_000
 #: The end of a text as a word; no text has it, since words hold no space.
 END = b" "
 
@@ -74,6 +77,15 @@ def _u(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(_UNPACK.decompress(b), kind)
 
 
+def _z_sorted(a: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as the byte planes of their steps."""
+    return _z(np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _u_sorted(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_u(b, "u1").reshape(8, -1).T).view(np.uint64).ravel().cumsum(dtype=np.uint64)
+
+
 class _Block:
     """Documents gathered until they have enough tokens."""
 
@@ -134,49 +146,91 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, block_tokens: int = BLOC
     return materialise(rows.mapInArrow(run, BLOCKS.format(kind=kind)), "blocks")
 
 
-def corpus_counts(packed: DataFrame, total: int) -> DataFrame:
+def _bits(size: float, each: int) -> int:
+    return max(0, min(16, int(np.ceil(np.log2(max(1.0, size / each))))))
+
+
+def _deal(block: str, hashes: np.ndarray, bits: int, **values: np.ndarray) -> pa.RecordBatch:
+    """(block, shard, hashes, values) for each shard of the hash space; ``hashes`` ascend."""
+    ends = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist() if bits else [0, len(hashes)]
+    cuts = [(s, a, b) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+    columns = [pa.array([block] * len(cuts), pa.string()), pa.array([s for s, _, _ in cuts], pa.int32()), pa.array([_z_sorted(hashes[a:b]) for _, a, b in cuts], pa.binary())]
+    columns += [pa.array([_z(v[a:b]) for _, a, b in cuts], pa.binary()) for v in values.values()]
+    return pa.RecordBatch.from_arrays(columns, ["block", "shard", "hashes", *values])
+
+
+def _met(table: pa.Table, *values: tuple[str, str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """What a shard got from all blocks: hashes, values one after another, and where blocks end."""
+    each = [_u_sorted(b) for b in table.column("hashes").to_pylist()]
+    found = [np.concatenate([_u(b, kind) for b in table.column(name).to_pylist()]) for name, kind in values]
+    return np.concatenate(each), found, np.cumsum([len(e) for e in each])[:-1]
+
+
+def corpus_counts(packed: DataFrame, bits: int) -> DataFrame:
     """For each block and shard of the hash space the corpus counts of the block's words, in order.
 
     Columns: block, shard, counts, and once for each shard the number of its words
-    seen once, twice, to five times or more, and those frequent enough for a state.
+    seen once, twice, to five times or more.
     """
-    size = packed.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
-    bits = max(0, min(16, int(np.ceil(np.log2(max(1.0, size / SHARD_WORDS))))))
-    shards = 1 << bits
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                hashes = np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
-                counts = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
-                ends = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(shards + 1, dtype=np.uint64)) if bits else np.array([0, len(hashes)])
-                parts = [(batch.column(0)[i].as_py(), s, hashes[a:b].tobytes(), _z(counts[a:b])) for s, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), [pa.string(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["block", "shard", "hashes", "counts"])
+        for row in _rows(batches):
+            yield _deal(row["block"], np.frombuffer(row["hashes"], np.uint64), bits, counts=np.frombuffer(row["counts"], np.int64))
 
     def add(table: pa.Table) -> pa.Table:
-        names = table.column("block").to_pylist()
-        each = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
-        counts = [_u(b, "<i8") for b in table.column("counts").to_pylist()]
-        words, where = np.unique(np.concatenate(each), return_inverse=True)
-        sums = np.bincount(where, np.concatenate(counts), len(words)).astype(np.int64)
-        often = np.flatnonzero(sums >= max(WORD_SHARE * total, 1))
-        back = np.split(sums[where], np.cumsum([len(e) for e in each])[:-1])
-        n = len(names)
-        first = [True] + [False] * (n - 1)
+        hashes, (counts,), ends = _met(table, ("counts", "<i8"))
+        words, where = np.unique(hashes, return_inverse=True)
+        sums = np.bincount(where, counts, len(words)).astype(np.int64)
+        first = [True] + [False] * (table.num_rows - 1)
         return pa.table(
             {
-                "block": names,
+                "block": table.column("block"),
                 "shard": table.column("shard"),
-                "counts": pa.array([_z(b) for b in back], pa.binary()),
+                "counts": pa.array([_z(b) for b in np.split(sums[where], ends)], pa.binary()),
                 "classes": pa.array([np.bincount(np.minimum(sums, 5), minlength=6)[1:] if f else [0] * 5 for f in first], pa.list_(pa.int64())),
-                "often": pa.array([words[often].tobytes() if f else b"" for f in first], pa.binary()),
-                "often_counts": pa.array([sums[often].tobytes() if f else b"" for f in first], pa.binary()),
             }
         )
 
     parts = packed.select("block", "hashes", "counts").mapInArrow(cut, "block string, shard int, hashes binary, counts binary")
-    summed = parts.groupBy("shard").applyInArrow(add, "block string, shard int, counts binary, classes array<long>, often binary, often_counts binary")
-    return materialise(summed, "counts")
+    return materialise(parts.groupBy("shard").applyInArrow(add, "block string, shard int, counts binary, classes array<long>"), "counts")
+
+
+def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct pairs of words: their hashes, ascending, from * words + to, and training counts."""
+    hashes, tokens, sizes = np.frombuffer(row["hashes"], np.uint64), _u(row["tokens"], "<i4"), np.array(row["sizes"], np.int64)
+    inside = np.ones(len(tokens), bool)
+    inside[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = False
+    at = np.flatnonzero(inside)
+    keys, where = np.unique(tokens[at - 1].astype(np.int64) * len(hashes) + tokens[at], return_inverse=True)
+    counts = np.bincount(where[~np.repeat(np.array(row["held"], bool), sizes)[at]], minlength=len(keys)).astype(np.int64)
+    of_pair = _mix(_mix(hashes[keys // len(hashes)]) * np.uint64(0x9E3779B97F4A7C15) + hashes[keys % len(hashes)])
+    order = np.argsort(of_pair)
+    return of_pair[order], keys[order], counts[order]
+
+
+def pair_counts(packed: DataFrame, bits: int) -> DataFrame:
+    """(block, shard, counts): corpus counts of the block's pairs, in order of their hashes.
+
+    A count is 0 for pairs below ``PAIR_COUNT``; others are doubled, with 1 added
+    in the one block that adds the arc to its history's sums.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            hashes, _, counts = _pairs(row)
+            yield _deal(row["block"], hashes, bits, counts=counts)
+
+    def add(table: pa.Table) -> pa.Table:
+        hashes, (counts,), ends = _met(table, ("counts", "<i8"))
+        pairs, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        sums = np.bincount(where, counts, len(pairs)).astype(np.int64)
+        sums[sums < PAIR_COUNT] = 0
+        back = 2 * sums[where]
+        back[first[sums > 0]] += 1
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "counts": pa.array([_z(b) for b in np.split(back, ends)], pa.binary())})
+
+    parts = packed.select("block", "sizes", "held", "tokens", "hashes").mapInArrow(cut, "block string, shard int, hashes binary, counts binary")
+    return materialise(parts.groupBy("shard").applyInArrow(add, "block string, shard int, counts binary"), "pairs")
 
 
 class Root:
@@ -197,20 +251,30 @@ class Root:
         return np.where(counts > 0, (counts - self.cuts[np.minimum(counts, 3)]) / max(self.total, 1), self.unknown)
 
 
+def history_sums(of: np.ndarray, to: np.ndarray, pair_counts: np.ndarray, counts: np.ndarray, root: Root) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the weights of its arcs, and the root's weights of the words they lead to."""
+    k = len(counts)
+    return np.bincount(of, (pair_counts - DISCOUNT) / counts[of], k)[:k], np.bincount(of, root.weights(counts)[to], k)[:k]
+
+
+def failure(arcs: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Log10 failure weights from the sums of each history."""
+    return np.log10(np.maximum(1.0 - arcs, 1e-12) / np.maximum(1.0 - below, 1e-12))
+
+
 class Automaton:
-    """States of frequent words, bigram arcs and failure weights; log10 throughout."""
+    """States of words, bigram arcs and failure weights; log10 throughout.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, root: Root):
+    A block has the arcs of its own pairs only and is given the failure weights.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, root: Root, fail: np.ndarray | None = None):
         k = len(hashes)
         self.hashes, self.root = hashes, root  # ascending
         self.pairs = pairs  # from * k + to, ascending
         of, to = pairs // max(k, 1), pairs % max(k, 1)
-        single = root.weights(counts)
-        arc = (pair_counts - DISCOUNT) / counts[of] if k else np.zeros(0)
-        self.arc = np.log10(arc)
-        left = 1.0 - np.bincount(of, arc, k)[:k]
-        below = 1.0 - np.bincount(of, single[to] if k else np.zeros(0), k)[:k]
-        self.fail = np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12))
+        self.arc = np.log10((pair_counts - DISCOUNT) / counts[of]) if k else np.zeros(0)
+        self.fail = failure(*history_sums(of, to, pair_counts, counts, root)) if fail is None else fail
 
     def score(self, tokens: np.ndarray, sizes: np.ndarray, state: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log10 probabilities of all texts of a block.
@@ -233,73 +297,79 @@ class Automaton:
         return np.add.reduceat(out, starts)
 
 
-def _states(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(known, hashes)
-    at[at == len(known)] = 0
-    return np.where(known[at] == hashes, at, -1) if len(known) else np.full(len(hashes), -1)
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
 
 
-def train(packed: DataFrame, counts: DataFrame, total: int) -> Automaton:
-    """Gather the automaton: its parts are bounded by the shares."""
-    spark = packed.sparkSession
-    rows = counts.where(F.octet_length("often") > 0).select("often", "often_counts").collect()
-    hashes = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-    sums = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows] or [np.zeros(0, np.int64)])
-    order = np.argsort(hashes)
-    hashes, sums = hashes[order], sums[order]
-    classes = counts.agg(*[F.sum(F.get("classes", F.lit(k))) for k in range(5)]).first()
-    shared = spark.sparkContext.broadcast(hashes[sums >= PAIR_SHARE * total])
+def _back(*tables: DataFrame) -> DataFrame:
+    """What shards sent back to blocks, by its place among ``tables``."""
+    out = None
+    for k, table in enumerate(tables):
+        some = table.select("block", "shard", F.lit(k).alias("kind"), table.columns[2])
+        out = some if out is None else out.union(some)
+    return out
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Training pairs of frequent words and their sums in each block."""
-        known = shared.value
-        for row in _rows(batches):
-            state = _states(np.frombuffer(row["hashes"], np.uint64), known)
-            sizes = np.array(row["sizes"], np.int64)
-            to = state[_u(row["tokens"], "<i4")].astype(np.int64)
-            held = np.repeat(np.array(row["held"], bool), sizes)
-            first = np.zeros(len(to), bool)
-            first[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
-            use = (to[1:] >= 0) & (to[:-1] >= 0) & ~first[1:] & ~held[1:]
-            keys, n = np.unique(to[:-1][use] * len(known) + to[1:][use], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    sent = packed.select("hashes", "sizes", "tokens", "held").mapInArrow(gather, "key long, n long")
-    kept = sent.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(PAIR_SHARE * total, 2)).toArrow()
-    key, n = kept.column("key").to_numpy(), kept.column("n").to_numpy()
-    # pairs are numbered among the words they were counted for
-    paired = np.flatnonzero(sums >= PAIR_SHARE * total)
-    if len(paired):
-        key = paired[key // len(paired)] * len(hashes) + paired[key % len(paired)]
-    order = np.argsort(key)
-    return Automaton(hashes, sums, key[order], n[order], Root([c or 0 for c in classes], total))
+
+def _got(table: pa.Table, kind: int, dtype: str) -> np.ndarray:
+    parts = sorted((s, b) for s, k, b in zip(*(table.column(c).to_pylist() for c in (1, 2, 3)), strict=True) if k == kind)
+    return np.concatenate([_u(b, dtype) for _, b in parts] or [np.zeros(0, dtype)])
+
+
+def _histories(counts: np.ndarray) -> np.ndarray:
+    """Words that can have arcs."""
+    return np.flatnonzero(counts >= PAIR_COUNT)
+
+
+def failures(packed: DataFrame, counts: DataFrame, pairs: DataFrame, root: Root, bits: int) -> DataFrame:
+    """(block, shard, fail): failure weights of the block's words that can have arcs, in order of their hashes."""
+
+    def own(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        _, keys, _ = _pairs(row)
+        c, n, k = _got(right, 0, "<i8"), _got(right, 1, "<i8"), len(row["hashes"]) // 8
+        mine = n & 1 > 0
+        arcs, below = history_sums(keys[mine] // k, keys[mine] % k, n[mine] >> 1, c, root)
+        at = _histories(c)
+        return pa.Table.from_batches([_deal(row["block"], np.frombuffer(row["hashes"], np.uint64)[at], bits, arcs=arcs[at], below=below[at])])
+
+    def add(table: pa.Table) -> pa.Table:
+        hashes, (arcs, below), ends = _met(table, ("arcs", "<f8"), ("below", "<f8"))
+        words, where = np.unique(hashes, return_inverse=True)
+        fail = failure(np.bincount(where, arcs, len(words)), np.bincount(where, below, len(words)))
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "fail": pa.array([_z(b) for b in np.split(fail[where], ends)], pa.binary())})
+
+    left = packed.select("block", "sizes", "held", "tokens", "hashes").groupBy("block")
+    parts = left.cogroup(_back(counts.select("block", "shard", "counts"), pairs).groupBy("block")).applyInArrow(own, "block string, shard int, hashes binary, arcs binary, below binary")
+    return materialise(parts.groupBy("shard").applyInArrow(add, "block string, shard int, fail binary"), "failures")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = docs.sparkSession
     packed = blocks(docs, id_col, text_col, block_tokens)
     kind = packed.schema["docs"].dataType.elementType.simpleString()
-    total = packed.agg(F.sum("training")).first()[0] or 0
-    counts = corpus_counts(packed, total)
-    shared = spark.sparkContext.broadcast(train(packed, counts, total))
+    sums = packed.agg(F.sum("training"), F.sum(F.octet_length("hashes") / 8), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()
+    total, bits = sums[0] or 0, _bits(sums[1] or 0, SHARD_WORDS)
+    counts = corpus_counts(packed, bits)
+    classes = counts.agg(*[F.sum(F.get("classes", F.lit(k))) for k in range(5)]).first()
+    root = Root([c or 0 for c in classes], total)
+    pairs = pair_counts(packed, _bits(sums[2] or 0, SHARD_TOKENS))
+    fails = failures(packed, counts, pairs, root, bits)
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        model = shared.value
         row = left.to_pylist()[0]
-        parts = sorted(zip(right.column("shard").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        c = np.concatenate([_u(b, "<i8") for _, b in parts])
+        hashes = np.frombuffer(row["hashes"], np.uint64)
+        _, keys, _ = _pairs(row)
+        c, n, fail = _got(right, 0, "<i8"), _got(right, 1, "<i8") >> 1, np.zeros(len(hashes))
+        fail[_histories(c)] = _got(right, 2, "<f8")
+        arcs = np.flatnonzero(n)
+        arcs = arcs[np.argsort(keys[arcs])]
+        model = Automaton(hashes, c, keys[arcs], n[arcs], root, fail)
         tokens, sizes = _u(row["tokens"], "<i4"), np.array(row["sizes"], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        state = _states(np.frombuffer(row["hashes"], np.uint64), model.hashes)
-        base = np.log10((c + BASE_ADD) / (total + BASE_ADD * (model.root.distinct + 1)))
+        base = np.log10((c + BASE_ADD) / (total + BASE_ADD * (root.distinct + 1)))
         return pa.table(
             {
                 "id": pa.array(row["docs"], left.schema.field("docs").type.value_type),
@@ -308,9 +378,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
                 "n_known": pa.array(np.add.reduceat((c[tokens] > 0).astype(np.int64), starts)),
                 "train_tokens": pa.array(np.full(len(sizes), total, np.int64)),
                 "base_score": pa.array(np.add.reduceat(base[tokens], starts)),
-                "score": pa.array(model.score(tokens, sizes, state, c)),
+                "score": pa.array(model.score(tokens, sizes, np.arange(len(hashes)), c)),
             }
         )
 
     left = packed.select("block", "docs", "held", "sizes", "tokens", "hashes").groupBy("block")
-    return left.cogroup(counts.select("block", "shard", "counts").groupBy("block")).applyInArrow(run, schema)
+    return left.cogroup(_back(counts.select("block", "shard", "counts"), pairs, fails).groupBy("block")).applyInArrow(run, schema)

@@ -272,6 +272,42 @@ def test_language_model(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def backoff_scores(rows):
+    """Brute force of the model: an arc for every pair seen twice, whatever the corpus' size."""
+    tokens = [lower(t or "").encode().split() + [b" "] for _, t in rows]
+    training = [w for (i, _), w in zip(rows, tokens, strict=True) if i is None or zlib.crc32(str(i).encode()) % 10]
+    one = Counter(w for row in training for w in row)
+    two = Counter(p for row in training for p in zip(row, row[1:], strict=False))
+    arcs = {p: n for p, n in two.items() if n >= 2}
+    classes = Counter(min(n, 5) for n in one.values())
+    root = lm.Root([classes[k] for k in range(1, 6)], sum(one.values()))
+    single = {w: float(root.weights(np.array([n]))[0]) for w, n in one.items()}
+    left, below = Counter(), Counter()
+    for (h, w), n in arcs.items():
+        left[h] += (n - lm.DISCOUNT) / one[h]
+        below[h] += single[w]
+    out = []
+    for row in tokens:
+        total, h = 0.0, None
+        for w in row:
+            if (h, w) in arcs:
+                total += math.log10((arcs[h, w] - lm.DISCOUNT) / one[h])
+            else:
+                total += math.log10(single.get(w, root.unknown)) + (math.log10((1 - left[h]) / (1 - below[h])) if h in left else 0.0)
+            h = w
+        out.append(total)
+    return out
+
+
+def test_language_model_keeps_every_repeated_pair(docs, spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{int(3000 * rng.random() ** 3)}" for _ in range(1000))) for k in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for given, frame, size in ((corpus(), docs, 300), (rows, frame, 100_000)):
+        got = Counter((str(r.id), round(r.score, 5)) for r in lm.score(frame, block_tokens=size).collect())
+        assert got == Counter((str(i), round(x, 5)) for (i, _), x in zip(given, backoff_scores(given), strict=True))
+
+
 def test_language_model_sums_to_one():
     """From every state the weights of all words and the unknown one sum to one."""
     counts = np.array([50, 20, 9, 3, 2, 1, 1], np.int64)
