@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -212,56 +212,83 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (round(1 / SHARE) * F.col("n_hit") >= F.col("n_words")))
 
 
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words of these ascending spans."""
+    raw = text.encode("utf-8", "surrogatepass")
+    at = [m.span() for m in WORD.finditer(raw.lower())]
+    for s, e in reversed(spans):
+        raw = raw[: at[s][0]] + raw[at[e - 1][1] :]
+    return raw.decode("utf-8", "surrogatepass")
+
+
 def cut(text: str, automaton: Automaton) -> str:
     """``text`` without the words of its spans; what closes up is looked at again."""
     while True:
         spans, _ = automaton.find(words(text))
         if not spans:
             return text
-        raw = text.encode("utf-8", "surrogatepass")
-        at = [m.span() for m in WORD.finditer(raw.lower())]
-        for s, e in reversed(spans):
-            raw = raw[: at[s][0]] + raw[at[e - 1][1] :]
-        text = raw.decode("utf-8", "surrogatepass")
+        text = cut_spans(text, spans)
+
 
+def _put(batch: pa.RecordBatch, changed: dict[int, str], text_col: str, chars_col: str | None) -> list[pa.Array]:
+    """The batch's columns with these texts and their character counts."""
+    columns = list(batch.columns)
+    for name, of in ((text_col, str), (chars_col, len)):
+        if changed and name:
+            n = batch.schema.get_field_index(name)
+            values = columns[n].to_pylist()
+            for i, t in changed.items():
+                values[i] = of(t)
+            columns[n] = pa.array(values, batch.schema.field(n).type)
+    return columns
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that are not contaminated, in the columns of the input.
 
     Documents above the share are left out; from others the spans are cut, and
-    their character count follows the text.
+    their character count follows the text.  One block of items does this in one
+    pass.  Several mark the spans of all of them first, so that the share and
+    every cut are of all items, and look again at what was cut.
     """
-    found = docs
     own_chars = chars_col if chars_col in docs.columns else None
     limit = round(1 / SHARE)
-    for block in blocks(items, item_id, item_text, BLOCK_CHARS):
-        shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
+    parts = [*islice(blocks(items, item_id, item_text, max_chars), 2)]
+    if not parts:
+        return docs
+    if len(parts) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(Automaton(parts[0], window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for batch in sub_batches(batches, text_col):
-                n = batch.schema.get_field_index(text_col)
-                texts, kept = batch.column(n).to_pylist(), []
-                changed = {}
-                for i, t in enumerate(texts):
+                kept, changed = [], {}
+                for i, t in enumerate(batch.column(batch.schema.get_field_index(text_col)).to_pylist()):
                     own = words(t)
                     hit = sum(e - s for s, e in automaton.find(own)[0])
                     if hit and limit * hit >= len(own):
                         continue
                     if hit:
-                        changed[i] = texts[i] = cut(t, automaton)
+                        changed[i] = cut(t, automaton)
                     kept.append(i)
-                columns = list(batch.columns)
-                if changed:
-                    columns[n] = pa.array(texts, batch.schema.field(n).type)
-                    if own_chars:
-                        m = batch.schema.get_field_index(own_chars)
-                        sizes = columns[m].to_pylist()
-                        for i, t in changed.items():
-                            sizes[i] = len(t)
-                        columns[m] = pa.array(sizes, batch.schema.field(m).type)
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names).take(pa.array(kept, pa.int64()))
-
-        found = found.mapInArrow(run, docs.schema)
-    return found
+                yield pa.RecordBatch.from_arrays(_put(batch, changed, text_col, own_chars), batch.schema.names).take(pa.array(kept, pa.int64()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    def cut_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, text_col):
+            n = batch.schema.get_field_index(text_col)
+            spans = [[(s["start"], s["end"]) for s in x["spans"]] for x in batch.column(batch.num_columns - 1).to_pylist()]
+            changed = {i: cut_spans(t, x) for i, (t, x) in enumerate(zip(batch.column(n).to_pylist(), spans, strict=True))}
+            yield pa.RecordBatch.from_arrays(_put(batch, changed, text_col, own_chars)[:-1], batch.schema.names[:-1])
 
+    hit = F.aggregate("_lx.spans", F.lit(0), lambda n, s: n + s.end - s.start).cast("long")
+    more = {"item_id": item_id, "item_text": item_text, "window": window, "max_chars": max_chars}
+    found = materialise(find(docs, items, text_col, **more), "decontam").where((hit == 0) | (limit * hit < F.col("_lx.n_words")))
+    done = found.where(F.size("_lx.spans") == 0).drop("_lx")
+    while True:
+        found = found.where(F.size("_lx.spans") > 0)
+        if found.isEmpty():
+            return done
+        found = materialise(find(found.mapInArrow(cut_found, docs.schema), items, text_col, **more), "decontam")
+        done = done.union(found.where(F.size("_lx.spans") == 0).drop("_lx"))

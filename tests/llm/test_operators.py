@@ -194,6 +194,27 @@ def test_decontamination(docs, empty, spark):
     assert {r.doc_id for r in cleaned.collect()} == {i for i, _, _, _, _, bad in want if not bad}
 
 
+def test_decontamination_in_blocks_of_items(spark):
+    """The share and the cuts are those of all items, however many blocks they make."""
+    rng = random.Random(4)
+    passage = lambda k, n=30: " ".join(f"p{k}x{j}" for j in range(n))
+    fill = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+    items = [(k, passage(k)) for k in range(8)]
+    rows = [(9, None), (10, fill(50))]
+    for k in range(7):
+        rows.append((100 + k, f"{fill(400)} {passage(k)} {fill(140)} {passage(7)} {fill(400)}"))  # 3% of each, 6% of both
+        rows.append((200 + k, f"{fill(900)} {passage(k)} {fill(900)} {passage(7)} {fill(900)}"))  # 2% of both
+        halves = passage(k).split()
+        rows.append((300 + k, f"{fill(900)} {' '.join(halves[:12])} {passage(7)} {' '.join(halves[12:24])} {fill(900)}"))  # closes up when 7 is cut
+    docs = spark.createDataFrame([(i, t, len(t or ""), "s") for i, t in rows], "doc_id long, text string, n_chars long, source string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontam.clean(docs, bench).collect()))
+    assert {r[0] for r in one} == {9, 10} | {200 + k for k in range(7)} | {300 + k for k in range(7)}
+    assert all(r[2] == len(r[1] or "") and not re.search(r"p\d+x", r[1] or "") for r in one)
+    for size in (60, 500):
+        assert sorted(map(tuple, decontam.clean(docs, bench, max_chars=size).collect())) == one
+
+
 def shingles(text):
     w = SPACE.findall(lower(text or ""))
     return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) or (frozenset([tuple(w)]) if w else frozenset())
