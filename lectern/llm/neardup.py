@@ -138,10 +138,11 @@ def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, n, class, bands, sketch) of every row, in one narrow pass."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, *more: Column) -> DataFrame:
+    """(id, n, class, bands, sketch) and ``more`` of every row, in one narrow pass."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *more)
     kind = rows.schema["id"].dataType.simpleString()
+    others = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -161,10 +162,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                 bands.append(key.view(np.int64))
                 maps.append(odd_sketch(samples).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], ["id", "n", "class", "bands", "sketch"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64())), *batch.columns[2:]],
+                ["id", "n", "class", "bands", "sketch", *batch.schema.names[2:]],
             )
 
-    return rows.mapInArrow(run, f"id {kind}, n long, class binary, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(run, f"id {kind}, n long, class binary, bands array<long>, sketch array<long>{others}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,9 +230,9 @@ def prefix_pairs(members: DataFrame, shingle: int, percent: int) -> DataFrame:
     return prefix.join(other, (prefix["h"] == other["h"]) & fits).select(F.col("class").alias("a"), F.col("o_class").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
-    every = materialise(sketches(docs, id_col, text_col, shingle), "sketches")
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """The sketches of every row, and (class, rep, root) of every distinct set."""
+    every = materialise(sketches(docs, id_col, text_col, shingle, *more), "sketches")
     # copies come together first, task by task, and count once from here on
     own = every.where("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     own = materialise(own, "distinct")
@@ -271,31 +273,45 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     rooted = members.join(sized.where(F.col("members") > LEADERS + 1), "bucket").join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     open_ = rooted.join(apart, "bucket", "left_semi").select("class", "root").distinct()
-    more = prefix_pairs(open_.join(texts, "class"), shingle, percent)
-    more = materialise(confirm(materialise(more, "pairs"), texts, shingle, percent), "links")
-    if not more.isEmpty():
-        roots = materialise(components(links.unionByName(more)), "roots")
+    late = prefix_pairs(open_.join(texts, "class"), shingle, percent)
+    late = materialise(confirm(materialise(late, "pairs"), texts, shingle, percent), "links")
+    if not late.isEmpty():
+        roots = materialise(components(links.unionByName(late)), "roots")
+    return every, reps.join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
+
 
-    named = reps.join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    every, named = _rooted(docs, id_col, text_col, shingle, percent)
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "root").select(F.col("class").alias("c_class"), "component_id")
     out = every.select("id", "n", "class").join(of_class, F.col("class") == F.col("c_class"), "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-#: Ids of dropped documents up to this count are broadcast, some 20 MB; more are shuffled.
+#: Dropped rows up to this count are broadcast, some 20 MB; more are shuffled.
 BROADCAST_IDS = 500_000
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **more) -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each class, in the columns of the input.
 
-    Rows that repeat an id with its text count as copies of one another.
+    It is a row of the smallest id, or of a null id where the class has no other.
+    Rows go by their id and text, so an id that is null or used again loses only
+    the copies among its rows.  Rows without words are kept.
     """
-    found = materialise(classes(docs, id_col, text_col, **more).select("id", "component_id", (F.col("n_shingles") > 0).alias("filled")), "classes")
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_lx_id")).distinct()
-    if gone.count() <= broadcast_ids:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_lx_id")), "left_anti")
-    repeated = found.where("filled").groupBy("id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates([id_col, text_col])
+    text_hash = F.xxhash64(F.col(text_col).cast("string"))
+    every, named = _rooted(docs, id_col, text_col, shingle, percent, text_hash.alias("_lx_hash"))
+    own = every.where("n > 0").select(F.col("id").alias("_lx_id"), "_lx_hash", "class")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "class")).alias("best")).select(F.col("best.class").alias("class"), F.col("best.rep").alias("rep"))
+    times = own.join(best, (own["class"] == best["class"]) & F.col("_lx_id").eqNullSafe(F.col("rep")), "left_semi").groupBy("class", "_lx_id", "_lx_hash").count()
+    stays = times.groupBy("class").agg(F.min(F.struct("_lx_hash", "_lx_id", "count")).alias("s")).select(F.col("s._lx_id").alias("s_id"), F.col("s._lx_hash").alias("s_hash"), F.col("s.count").alias("times"))
+    stays = materialise(stays, "stays")
+    same = F.col("_lx_id").eqNullSafe(F.col("s_id")) & (F.col("_lx_hash") == F.col("s_hash"))
+    gone = materialise(own.join(stays, same, "left_anti").select("_lx_id", "_lx_hash").distinct(), "gone")
+    this = lambda i, h: F.col(id_col).eqNullSafe(F.col(i)) & (text_hash == F.col(h))
+    left = docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, this("_lx_id", "_lx_hash"), "left_anti")
+    repeated = stays.where("times > 1")
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, this("s_id", "s_hash"), "left_anti").union(left.join(repeated, this("s_id", "s_hash"), "left_semi").dropDuplicates([id_col, text_col]))

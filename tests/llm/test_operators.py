@@ -252,6 +252,19 @@ def test_near_duplicates(docs, empty):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == want and 10 not in want
 
 
+def test_near_duplicates_of_null_and_reused_ids(spark):
+    """Only a copy's own rows go, and every class keeps one document."""
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    near = lambda k: text(k).replace("w39", "other")
+    rows = [(1, text("n")), (None, near("n")), (None, text("u")), (None, text("v")), (None, near("v"))]  # v's rows have no id
+    rows += [(5, text("A")), (5, text("B")), (3, text("B")), (7, text("C")), (7, near("C")), (8, text("D")), (8, text("D")), (9, text("E")), (9, text("E").upper())]
+    rows += [(None, None), (None, None), (4, ""), (4, "")]
+    for size in (0, 500_000):
+        kept = [tuple(r) for r in neardup.keep(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_ids=size).collect()]
+        found = Counter((i, t.split("w")[0].split("W")[0] if t else t) for i, t in kept)
+        assert found == Counter({(1, "n"): 1, (None, "u"): 1, (None, "v"): 1, (5, "A"): 1, (3, "B"): 1, (7, "C"): 1, (8, "D"): 1, (9, "E"): 1, (None, None): 2, (4, ""): 2})
+
+
 def test_near_duplicates_of_a_large_group(spark):
     """More members than leaders, many of them linked with others than the leaders."""
     rng = random.Random(3)
