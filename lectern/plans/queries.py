@@ -15,7 +15,7 @@ from ..operators.conversation import CompactConfig, compact
 from ..sources import store
 from ..streaming import session
 from . import pipeline
-from .views import AGENT_MESSAGES, CONVERSATIONS, EVENT_ITEMS, EVENT_VALUES, LOG_LINES, PARAGRAPHS, PAYLOADS, cte, view
+from .views import AGENT_MESSAGES, CONVERSATIONS, EVENT_ITEMS, EVENT_VALUES, LOG_LINES, PARAGRAPHS, PAYLOADS, TABLE_PAYLOADS, cte, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,13 @@ def route_compressor(spark, d):
     return rows.select("payload_id", F.col("detected.content_type").alias("content_type"), "compressor")
 
 
+@_query()
+def route_payloads(spark, d):
+    """The routes of whole tables; ``route_compressor`` holds those of the ten literals against SQL."""
+    rows = pipeline.routed(view(spark, d, TABLE_PAYLOADS))
+    return rows.select("source", "payload_id", F.col("detected.content_type").alias("content_type"), "compressor")
+
+
 _SEARCH_N = _count(detect_.SEARCH, "ls")
 
 
@@ -275,9 +282,9 @@ def dedup_ref(spark, d):
 
 @_query()
 def payload_reduction(spark, d):
-    """Code, diffs and JSON through their kernels."""
-    out = pipeline.compress(view(spark, d, PAYLOADS)).messages
-    return out.select("payload_id", "compressor", "content", "ccr_id")
+    """All payloads of the tables, and the literals, through their kernels."""
+    out = pipeline.compress(view(spark, d, TABLE_PAYLOADS)).messages
+    return out.select("source", "payload_id", "compressor", "content", "ccr_id")
 
 
 @_query("SELECT array_id, idx, item AS aligned, item AS small FROM ei", (I,))

@@ -68,10 +68,38 @@ SELECT * FROM (
 ) p
 """
 
+_TRACED = """
+  UNION ALL SELECT {id}, concat('INFO job started', chr(10), 'ERROR job failed', chr(10), {lines}, chr(10), 'INFO job ended')"""
+_TRACES = [
+    ["Traceback (most recent call last):", '  File "a.py", line 3, in run', "ValueError: bad"],
+    ["TypeError: x is not a function", "    at run (/srv/a.js:3:7)", "    at main (/srv/b.js:9:1)"],
+    ["java.lang.IllegalStateException: bad", "    at com.acme.Job.run(Job.java:42)", "    at com.acme.Main.main(Main.java:7)"],
+    ["thread main panicked", "  --> src/main.rs:3:5", "  --> src/job.rs:9:1"],
+    ["goroutine 1 [running]:", "  1: 0x45d1a0 main.run", "  2: 0x45d2b4 main.main"],
+]
+#: Languages and trace flavours that ``PAYLOADS`` doesn't have.
+MORE_PAYLOADS = (
+    """
+  SELECT 11 AS payload_id, concat('import fs from "fs";', chr(10), 'const x = 1;', chr(10), 'function f() {{', chr(10), '  // note', chr(10), '  return x;', chr(10), '}}') AS content
+  UNION ALL SELECT 12, concat('interface A {{', chr(10), '  x: number;', chr(10), '}}', chr(10), 'type B = string;', chr(10), 'enum C {{ D }}', chr(10), 'namespace E {{}}')
+  UNION ALL SELECT 13, concat('package main', chr(10), 'import "fmt"', chr(10), 'func (s S) Run() {{', chr(10), '  // note', chr(10), '}}', chr(10), 'type S struct{{}}')
+  UNION ALL SELECT 14, concat('package com.acme;', chr(10), 'public class A {{', chr(10), '  @Override', chr(10), '  // note', chr(10), '}}', chr(10), 'private interface B {{}}')"""
+    + "".join(_TRACED.format(id=15 + k, lines=", chr(10), ".join(f"'{x}'" for x in t)) for k, t in enumerate(_TRACES))
+)
+
+#: All literals, and every row of three tables.
+TABLE_PAYLOADS = f"""
+SELECT 'literal' AS source, CAST(payload_id AS BIGINT) AS payload_id, content FROM ({PAYLOADS} UNION ALL {MORE_PAYLOADS}) x
+UNION ALL SELECT 'pages', CAST(page_id AS BIGINT), coalesce(html, '') FROM {{pages}}
+UNION ALL SELECT 'documents', CAST(doc_id AS BIGINT), coalesce(text, '') FROM {{documents}}
+UNION ALL SELECT 'event_items', CAST(array_id AS BIGINT), concat('[', array_join(transform(array_sort(collect_list(struct(idx, item))), x -> x.item), ','), ']')
+  FROM ({EVENT_ITEMS}) i GROUP BY array_id
+"""
+
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The view on Spark."""
-    tables = [t for t in ("events", "documents", "conversations") if f"{{{t}}}" in sql]
+    tables = [t for t in ("events", "documents", "conversations", "pages") if f"{{{t}}}" in sql]
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}) if tables else spark.sql(sql.replace("{{", "{").replace("}}", "}"))
 
 

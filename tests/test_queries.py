@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from lectern.plans.queries import ORACLES, QUERIES
+from lectern.plans.views import TABLE_PAYLOADS, view
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +37,19 @@ def test_query(spark, con, name):
     columns = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, got) == rows(columns, want.fetchall())
+
+
+def test_payloads_are_whole_tables(spark, con):
+    """Every row of the tables is routed and reduced, and the literals reach each compressor."""
+    want = dict(con.execute("SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'event_items', count(DISTINCT user_id) FROM events").fetchall()) | {"literal": 19}
+    routes = QUERIES["route_payloads"](spark, SF).collect()
+    reduced = QUERIES["payload_reduction"](spark, SF).collect()
+    for found in (routes, reduced):
+        assert {s: sum(r.source == s for r in found) for s in want} == want and len(found) == sum(want.values())
+    assert {(r.source, r.payload_id, r.compressor) for r in routes} == {(r.source, r.payload_id, r.compressor) for r in reduced}
+    of = {r.payload_id: r for r in routes if r.source == "literal"}
+    assert all(of[k].content_type == "source_code" for k in (4, 10, 11, 12, 13, 14)) and all(of[k].compressor == "log_stripper" for k in range(15, 20))
+    arrays = dict(con.execute("""SELECT user_id, string_agg('{"id":' || event_id || ',"note":"' || repeat('n', CAST(event_id % 23 AS INT)) || '","type":"' || event_type || '"}', ',' ORDER BY event_id) FROM events GROUP BY user_id""").fetchall())
+    given = {r.payload_id: r.content for r in view(spark, SF, TABLE_PAYLOADS).where("source = 'event_items'").collect()}
+    assert given == {k: f"[{v}]" for k, v in arrays.items()}
+    assert {r.compressor for r in routes if r.source == "event_items"} == {"smart_crusher"}
