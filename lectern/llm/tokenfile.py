@@ -17,6 +17,7 @@ read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from .bpe import byte_alphabet
 from .common import materialise, sub_batches
@@ -39,8 +42,9 @@ ESCAPE = 15
 SUB = 128
 #: A block is closed once it has this many ids.
 BLOCK_IDS = 262_144
-#: White-space-free strings remembered per Python worker.
+#: White-space-free strings remembered per Python worker, and the longest of them.
 CACHE_WORDS = 500_000
+CACHE_CHARS = 48
 
 _COUNTS = np.array([n for n, _ in SELECTORS], dtype=np.int64)
 _BITS = np.array([b for _, b in SELECTORS], dtype=np.uint64)
@@ -48,6 +52,17 @@ _EDGES = np.array([1 << b for _, b in SELECTORS], dtype=np.uint64)
 _LIMIT = np.uint64(1 << 60)
 
 
+_SMALL = np.searchsorted(_EDGES, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
+def _narrowest(ids: np.ndarray) -> np.ndarray:
+    """The first selector wide enough for each id; their number where none is."""
+    out = _SMALL[np.minimum(ids, np.uint64(len(_SMALL) - 1)).astype(np.int64)]
+    large = np.flatnonzero(ids >= len(_SMALL))
+    out[large] = np.searchsorted(_EDGES, ids[large], side="right")
+    return out
+
+
 #: Selectors below this one take more than eight ids.
 _WIDE = 7
 
@@ -76,7 +91,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = np.zeros(lanes * SUB, dtype=np.uint64)
     padded[:n] = ids
     values[:, :SUB] = padded.reshape(lanes, SUB)
-    need = np.searchsorted(_EDGES, values, side="right").astype(np.uint8)  # narrowest selector; 14: escape
+    need = np.zeros((lanes, SUB + 60), dtype=np.uint8)  # narrowest selector; 14: escape
+    need[:, :SUB] = _narrowest(padded).reshape(lanes, SUB)
     number = np.zeros((lanes, SUB + 60), dtype=np.uint64)
     flat = np.zeros(lanes * SUB, dtype=np.uint64)
     flat[:n][ids >= _LIMIT] = np.arange(len(escapes), dtype=np.uint64)
@@ -138,7 +154,6 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     return ids
 
 
-_CONTROL = "\x1c\x1d\x1e\x1f"  # white space for Python, not for the tokenizer
 #: Marks that follow a word as one match of the split pattern.
 _MARKS = "!#$%&*,.:;?|"
 
@@ -146,17 +161,26 @@ _MARKS = "!#$%&*,.:;?|"
 def _lower(text: str) -> str:
     """Lower case as the tokenizer has it, or the text as it is where that depends on neighbours."""
     if text.isascii():
-        return text.lower()
+        return text.lower() if "<|" not in text else text
     low = text.lower()
-    return low if "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low) else text
+    return low if "<|" not in text and "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low) else text
 
 
 class WordEncoder:
-    """Encodes texts whose tokens never cross white space, each such string once."""
+    """Encodes texts whose tokens never cross white space.
+
+    Texts are cut at ASCII white space and their words numbered by Arrow, so
+    that each different word of a batch is looked up once.  Words of up to
+    ``CACHE_CHARS`` characters are remembered, at most about ``CACHE_WORDS``.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self._tokenize = self.tokenizer.model.tokenize
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        # words are remembered here, so the model needs no memory of its own
+        self._tokenize = BPE(model["vocab"], merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0).tokenize
         self._chars = dict(enumerate(byte_alphabet()))
         self._clear()
 
@@ -168,6 +192,8 @@ class WordEncoder:
 
     def _word(self, word: str) -> list[int] | None:
         """Ids of a word of letters, with marks after it or not: one or two matches of the split pattern."""
+        if word.isascii() and word.isalpha() and word.islower():
+            return [t.id for t in self._tokenize(word)]
         body = word.rstrip(_MARKS)
         if not body.isalpha() or word != word.lower() or not word.isascii() and not is_normalized("NFC", word):
             return None
@@ -177,49 +203,49 @@ class WordEncoder:
 
     def _marks(self, run: str) -> list[int]:
         """Ids of a run of marks; there are few different ones."""
+        if len(run) > CACHE_CHARS:
+            return [t.id for t in self._tokenize(run)]
         if run not in self._runs:
             self._runs[run] = [t.id for t in self._tokenize(run)]
         return self._runs[run]
 
-    def _learn(self, missing: list[str]) -> list[list[int]]:
+    def _learn(self, missing: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words in a row, and the number of ids of each."""
         found = list(map(self._word, missing))
         rest = [i for i, ids in enumerate(found) if ids is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([missing[i] for i in rest], add_special_tokens=False), strict=True):
             found[i] = e.ids
-        return found
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        rows = [[t] if any(c in t for c in _CONTROL) else _lower(t).split() for t in texts]
+        split = pa.compute.ascii_split_whitespace(pa.array(map(_lower, texts), pa.large_string()))
+        sizes = np.asarray(pa.compute.list_value_length(split))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self._at) > CACHE_WORDS:
             self._clear()
-        known, fresh = self._at, {}
-        numbers = np.fromiter(map(known.get, chain.from_iterable(rows), repeat(-1)), dtype=np.int64)
-        unknown = np.flatnonzero(numbers < 0)
-        if len(unknown):
-            flat = list(chain.from_iterable(rows))
-            missing = [flat[i] for i in unknown.tolist()]
-            size = len(self._ends) - 1
-            for w in missing:
-                if w not in fresh:
-                    fresh[w] = size + len(fresh)
-            new = self._learn(list(fresh))
-            counts = np.fromiter(map(len, new), np.int64, len(new))
-            ids = np.fromiter(chain.from_iterable(new), np.int32, int(counts.sum()))
-            numbers[unknown] = np.fromiter(map(fresh.__getitem__, missing), np.int64, len(missing))
-            ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(counts)])
-            flat_ids = np.concatenate([self._flat, ids])
-            self._flat, self._ends = flat_ids, ends
-            known |= fresh  # long strings are few, and go with the next clearing
+        numbers = np.fromiter(map(self._at.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            short = np.fromiter(map(len, new), np.int64, len(new)) <= CACHE_CHARS
+            order = np.argsort(~short, kind="stable")  # those to remember come first
+            new, keep, size = [new[i] for i in order.tolist()], int(short.sum()), len(self._ends) - 1
+            ids, counts = self._learn(new)
+            numbers[missing[order]] = size + np.arange(len(new))
+            ends, flat = np.concatenate([self._ends, self._ends[-1] + np.cumsum(counts)]), np.concatenate([self._flat, ids])
+            self._at.update(zip(new[:keep], range(size, size + keep), strict=True))
+            self._ends = ends[: size + keep + 1]
+            self._flat = flat[: self._ends[-1]]
         else:
-            flat_ids, ends = self._flat, self._ends
+            flat, ends = self._flat, self._ends
+        numbers = numbers[np.asarray(coded.indices)]
         first, counts = ends[numbers], ends[numbers + 1] - ends[numbers]
-        total = np.cumsum(counts)
-        at = np.repeat(first - np.concatenate([[0], total[:-1]]), counts) if len(counts) else np.zeros(0, np.int64)
-        ids = flat_ids[at + np.arange(len(at))]
-        of = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
-        upto = np.concatenate([[0], total])
-        return ids, np.diff(upto[of])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(first - upto[:-1], counts) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(sizes)])])
 
 
 @lru_cache(maxsize=2)
@@ -265,8 +291,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], encoder: WordEncoder, end_id: int
 def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode a table into the file format, in ascending id order; the written file."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    kind, arrow = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     return materialise(ordered.mapInArrow(lambda it: _blocks(it, load(tokenizer_path), end_id, arrow), FILE.format(kind=kind)), "tokens")
 

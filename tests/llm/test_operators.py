@@ -98,6 +98,21 @@ def test_token_file(docs, empty):
     assert tokenfile.read_documents(tokenfile.write(empty, WORD_BPE, 2)).count() == 0
 
 
+def test_token_file_of_odd_texts_and_ids(spark):
+    """Control characters, marks of special tokens, unbroken strings; what is remembered stays short."""
+    library = Tokenizer.from_file(WORD_BPE)
+    texts = ["a\x1cb \x1d c", "<|ENDOFTEXT|> x<|endoftext|>Y", "ΑΣ σας", "e\u0301 \u0301x", "x\u3000y\u00a0z", "it's 42nd", "!" * 500, "語" * 3000, "Don'T", "a" * 900] + [f"w{k}\x1cv{k} " * 200 for k in range(40)]
+    encoder = tokenfile.WordEncoder(WORD_BPE)
+    for _ in range(2):
+        ids, sizes = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, encoder._at)) <= tokenfile.CACHE_CHARS
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kind in ("smallint", "decimal(20,2)", "string"):
+        got = tokenfile.read_documents(tokenfile.write(frame.select(F.col("doc_id").cast(kind), "text"), WORD_BPE, 2))
+        assert got.schema["id"].dataType.simpleString() == kind and got.count() == len(texts)
+
+
 URLS = ["http://A.Example.com/en/x?q", "https://www.example.com/en/", "ftp://net/es/", "http://a.net/fr/1#f", "http://com", "no scheme", None, "", "http://x.org/en/", "http://example.com/english", "http://a.net/fr/1#f", "://com/", "http://xcom/"]
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"), ("block", "example.com", "/engl"), ("block", "", "/")]
 
