@@ -321,56 +321,60 @@ def test_language_model(docs, empty):
     assert lm.score(empty).count() == 0
 
 
-def backoff_scores(rows):
-    """Brute force of the model: an arc for every pair seen twice, whatever the corpus' size."""
+def backoff_model(rows):
+    """Brute force of the model: every word and pair seen before a word twice, whatever the corpus' size."""
     tokens = [lower(t or "").encode().split() + [b" "] for _, t in rows]
     training = [w for (i, _), w in zip(rows, tokens, strict=True) if i is None or zlib.crc32(str(i).encode()) % 10]
-    one = Counter(w for row in training for w in row)
-    two = Counter(p for row in training for p in zip(row, row[1:], strict=False))
-    arcs = {p: n for p, n in two.items() if n >= 2}
-    classes = Counter(min(n, 5) for n in one.values())
-    root = lm.Root([classes[k] for k in range(1, 6)], sum(one.values()))
-    single = {w: float(root.weights(np.array([n]))[0]) for w, n in one.items()}
-    left, below = Counter(), Counter()
-    for (h, w), n in arcs.items():
-        left[h] += (n - lm.DISCOUNT) / one[h]
-        below[h] += single[w]
-    out = []
-    for row in tokens:
-        total, h = 0.0, None
-        for w in row:
-            if (h, w) in arcs:
-                total += math.log10((arcs[h, w] - lm.DISCOUNT) / one[h])
-            else:
-                total += math.log10(single.get(w, root.unknown)) + (math.log10((1 - left[h]) / (1 - below[h])) if h in left else 0.0)
-            h = w
-        out.append(total)
-    return out
-
-
-def test_language_model_keeps_every_repeated_pair(docs, spark):
+    count = [Counter(tuple(row[i : i + n]) for row in training for i in range(len(row) - n + 1)) for n in (1, 2, 3)]
+    classes = Counter(min(n, 5) for n in count[0].values())
+    root = lm.Root([classes[k] for k in range(1, 6)], sum(count[0].values()))
+    sums = {}
+    for grams in count[1:]:
+        for g, n in grams.items():
+            if n >= 2:
+                s, k = sums.get(g[:-1], (0, 0))
+                sums[g[:-1]] = (s + n, k + 1)
+
+    def prob(history, w):
+        if not history:
+            return float(root.weights(np.array([count[0][(w,)]]))[0])
+        below = prob(history[1:], w)
+        if history not in sums:
+            return below
+        (s, k), all_ = sums[history], count[len(history) - 1][history]
+        n = count[len(history)][(*history, w)]
+        return (1 - (s - lm.DISCOUNT * k) / all_) * below + ((n - lm.DISCOUNT) / all_ if n >= 2 else 0.0)
+
+    return tokens, count, prob
+
+
+def backoff_scores(rows):
+    tokens, _, prob = backoff_model(rows)
+    return [sum(math.log10(prob(tuple(row[max(0, i - 2) : i]), w)) for i, w in enumerate(row)) for row in tokens]
+
+
+def test_language_model_equals_brute_force(docs, spark):
+    """Arcs of all repeated pairs and triples; blocks, shards, split histories and lanes change nothing."""
     rng = random.Random(8)
-    rows = [(k, " ".join(f"w{int(3000 * rng.random() ** 3)}" for _ in range(1000))) for k in range(700)]
+    rows = [(k, " ".join(f"w{int(300 * rng.random() ** 3)}" for _ in range(rng.choice([0, 1, 2, 300, 900])))) for k in range(300)]
+    rows += [(400 + k, f"of the {'of the x%d ' % (k % 40) * 30}") for k in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for given, frame, size in ((corpus(), docs, 300), (rows, frame, 100_000)):
-        got = Counter((str(r.id), round(r.score, 5)) for r in lm.score(frame, block_tokens=size).collect())
-        assert got == Counter((str(i), round(x, 5)) for (i, _), x in zip(given, backoff_scores(given), strict=True))
+    for given, frame, sizes in ((corpus(), docs, ((300, 200),)), (rows, frame, ((100_000, 10_000_000), (20_000, 3_000)))):
+        want = Counter((str(i), round(x, 5)) for (i, _), x in zip(given, backoff_scores(given), strict=True))
+        for block, shard in sizes:
+            assert Counter((str(r.id), round(r.score, 5)) for r in lm.score(frame, block_tokens=block, shard_tokens=shard).collect()) == want
+    typed = lm.score(frame.where("doc_id < 20").select(F.col("doc_id").cast("decimal(9,0)"), "text"))
+    assert typed.schema["id"].dataType.simpleString() == "decimal(9,0)" and typed.count() == 20
 
 
 def test_language_model_sums_to_one():
-    """From every state the weights of all words and the unknown one sum to one."""
-    counts = np.array([50, 20, 9, 3, 2, 1, 1], np.int64)
-    total = int(counts.sum())
-    root = lm.Root([2, 1, 1, 0, 3], total)
-    k = 3
-    pairs, n = np.array([0 * k + 1, 0 * k + 2, 1 * k + 0], np.int64), np.array([10, 5, 8], np.int64)
-    model = lm.Automaton(np.arange(k, dtype=np.uint64), counts[:k], pairs, n, root)
-    every = np.append(counts, 0)
-    state = np.array([0, 1, 2, -1, -1, -1, -1, -1])
-    assert abs(root.weights(every).sum() - 1) < 1e-9
-    for h in range(k):
-        after = [10 ** (model.score(np.array([h, w], np.int32), np.array([2]), state, every)[0] - np.log10(root.weights(every))[h]) for w in range(8)]
-        assert abs(sum(after) - 1) < 1e-9
+    """From the states of a text the weights of all words and the unknown one sum to one."""
+    rng = random.Random(2)
+    rows = [(None, " ".join(rng.choice("abcdef") for _ in range(60))) for _ in range(5)]
+    _, count, prob = backoff_model(rows)
+    events = [*(w for (w,) in count[0]), b"unknown"]
+    for history in [(), (b"a",), (b"a", b"b"), (b"c", b"c"), (b"unknown", b"a")]:
+        assert abs(sum(prob(history, w) for w in events) - 1) < 1e-9
 
 
 def test_warc(spark):
