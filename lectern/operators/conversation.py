@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect as D
 from ..functions import focus as focus_
-from ..sources.store import shared_table
+from ..sources.shared import materialise
 from . import kernels
 from .agent import ERROR_BYTES, ERROR_PATTERNS, TYPES, AgentPolicy
 
@@ -337,6 +337,6 @@ def compact(messages: DataFrame, config: CompactConfig = CompactConfig()) -> Com
         n = len(body)
         return pa.table({"conv_id": pa.array([key[0].as_py()] * n, table.schema.field("conv_id").type), "what": [b[0] for b in body], "seq": pa.array([b[1] for b in body], pa.int32()), "body": [json.dumps(b[2], ensure_ascii=False) for b in body]})
 
-    done = shared_table(rows.groupBy("conv_id").applyInArrow(run, f"conv_id {kind_}, what string, seq int, body string"), "compact")
+    done = materialise(rows.groupBy("conv_id").applyInArrow(run, f"conv_id {kind_}, what string, seq int, body string"), "compact")
     part = lambda what, schema: done.where(F.col("what") == what).select("conv_id", "seq", F.from_json("body", schema).alias("b")).select("conv_id", F.col("seq").alias("idx"), "b.*")
     return CompactResult(part("message", MESSAGE), part("fold", FOLD), part("report", REPORT).drop("idx"), part("original", "id string, original string").drop("idx", "conv_id").dropDuplicates(["id"]))

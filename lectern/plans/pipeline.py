@@ -18,7 +18,7 @@ from ..functions import detect as D
 from ..functions import focus as focus_
 from ..functions import tokens
 from ..operators import kernels
-from ..sources.store import shared_table
+from ..sources.shared import materialise
 
 BUILT_IN = ("smart_crusher", "log_stripper", "ast_code", "semantic", "dedup_ref", "toon")
 DEFAULT = ("smart_crusher", "log_stripper", "ast_code", "semantic")
@@ -91,7 +91,7 @@ def compress(messages: DataFrame, config: CompressConfig = CompressConfig()) ->
     """Messages with shorter contents, the originals that markers lead to, and totals."""
     if config.align:
         messages = messages.withColumn(config.content, align_text(F.col(config.content)))
-    rows = shared_table(reduce(routed(messages, config), config), "compressed")
+    rows = materialise(reduce(routed(messages, config), config), "compressed")
     changed = F.col("reduced") != F.col(config.content)
     out = rows.withColumn("ccr_id", F.when(changed & F.lit(config.reversible), F.element_at("saved", -1)["id"]))
     originals = out.where(F.col("ccr_id").isNotNull()).select(F.explode("saved").alias("s")).select("s.id", "s.original").dropDuplicates(["id"])

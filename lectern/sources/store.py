@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,18 +14,6 @@ SCHEMA = "id string, original string, media_type string, metadata map<string,str
 TEXT = "text/plain; charset=utf-8"
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the folder the cluster shares and read it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lectern/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class EngineConfig:
     """Settings of a deployment; ``from_env`` reads them from LECTERN_ variables."""
