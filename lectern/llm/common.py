@@ -1,41 +1,15 @@
-"""Helpers that several operators share: the shared folder and Arrow batching."""
+"""Helpers that several operators share: tables in the shared folder and Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
-from pyspark.sql import DataFrame, SparkSession
 
-SHARED = "spark.checkpoint.dir"
+from ..sources.shared import materialise
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (a local session, as in tests) one is made and set for the session.
-    """
-    base = spark.conf.get(SHARED, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set(SHARED, base)
-    return f"{base.rstrip('/')}/lectern/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts lineage with files that every executor can read, so a lost
-    executor costs at most the tasks it was running.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "sub_batches"]
 
 
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:

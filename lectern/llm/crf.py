@@ -22,15 +22,17 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sub_batches
+from .common import materialise, sub_batches
 
 #: Labelled documents of each class in the training sample, those with the smallest hashes.
 SAMPLE_PER_CLASS = 2500
-#: Sampled documents with more lines are not trained on.
-SAMPLE_LINES = 64
+#: Bytes of text in the sample: documents are taken in the order of their hashes until it has them.
+SAMPLE_BYTES = 64 << 20
+#: Lines of one chain in training; longer texts are several, of which every line is learned.
+CHAIN = 64
 STEPS = 150
 L2 = 1e-3
 
@@ -166,13 +168,16 @@ def fit(texts: list[str], labels: list[int], base: float, steps: int = STEPS) ->
     x, sizes, counts = line_features(texts)
     line_y = np.repeat(y, counts)
     each = np.repeat(1.0 / counts, counts)  # long texts don't outweigh short ones
-    inner = np.repeat(counts > 1, counts)
+    pieces = -(-counts // CHAIN)
+    chains = np.full(int(pieces.sum()), CHAIN, dtype=np.int64)
+    chains[np.cumsum(pieces) - 1] = counts - CHAIN * (pieces - 1)
+    of_chain = np.repeat(y.astype(int), pieces)
     theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y.astype(int), y.astype(int)), (counts - 1).astype(float))
-    links = max(1.0, float(inner.sum()))
+    np.add.at(seen, (of_chain, of_chain), (chains - 1).astype(float))
+    links = max(1.0, float(chains[chains > 1].sum()))
     for k in range(1, steps + 1):
-        p, expected, _ = forward_backward(x @ theta[:width], counts, theta[width:].reshape(2, 2))
+        p, expected, _ = forward_backward(x @ theta[:width], chains, theta[width:].reshape(2, 2))
         slope = np.concatenate([x.T @ ((line_y - p) * each) / len(texts), ((seen - expected) / links).ravel()]) - L2 * theta
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope * slope
         theta += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
@@ -199,8 +204,12 @@ def fold(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, folds: int = 5) -> Crf:
-    """Fit on labelled rows outside fold 0: at most ``per_class`` of each class reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, folds: int = 5, sample_bytes: int = SAMPLE_BYTES) -> Crf:
+    """Fit on labelled rows outside fold 0: at most ``per_class`` of each class and about ``sample_bytes`` of text.
+
+    The last document taken may go beyond the bytes, so that a single long one
+    is learned from too.
+    """
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (F.coalesce(fold(F.col("l_id"), folds), F.lit(0)) != 0))
     rate = known.agg(F.avg("y")).first()[0]
     picked = None
@@ -208,8 +217,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    met = own.join(F.broadcast(picked), F.col("id") == F.col("l_id")).where(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= SAMPLE_LINES)
-    rows = met.select("id", "y", "text").orderBy(F.xxhash64("id"), "id", "text").limit(4 * per_class).collect()
+    met = own.join(F.broadcast(picked), F.col("id") == F.col("l_id")).select("id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    met = materialise(met.withColumn("key", F.xxhash64("id", "text")).orderBy("key", "id").limit(4 * per_class), "sample")
+    # a running sum over the sample's sizes only, at most 4 * per_class rows
+    before = F.coalesce(F.sum("size").over(Window.orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = met.select("key", "id", F.octet_length("text").alias("size")).withColumn("before", before).where(F.col("before") < sample_bytes).agg(F.max("key")).first()[0]
+    rows = met.where(F.col("key") <= F.lit(last).cast("long")).orderBy("key", "id").collect()
     return fit([r.text or "" for r in rows], [r.y for r in rows], 0.5 if rate is None else rate)
 
 

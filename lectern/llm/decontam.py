@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialise, sub_batches
 
@@ -32,8 +34,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
 #: A document with hits is contaminated if they are at least this share of its words.
 SHARE = 1 / 20
-#: Item characters in one automaton; more items make more passes over the documents.
-BLOCK_CHARS = 20_000_000
+#: Item characters in one automaton, some 200 MB; more items make more passes over the documents.
+BLOCK_CHARS = 2_000_000
 _TO_WORDS = bytes(b if WORD.match(bytes([b])) else 0x20 for b in bytes(range(256)).lower())
 
 
@@ -160,43 +162,58 @@ def blocks(items: DataFrame, id_col: str, text_col: str, max_chars: int) -> Iter
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def _join_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted([*a, *b]):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def _found(batch: pa.RecordBatch, automaton: Automaton, text_col: str) -> list[dict]:
+    rows = []
+    for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+        own = words(text)
+        spans, hit = automaton.find(own)
+        rows.append({"n_words": len(own), "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(hit)})
+    return rows
 
 
 def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with ``_lx`` (n_words, spans, items): one narrow pass for each block of items."""
-    spark = docs.sparkSession
-    out = docs.withColumn("_lx", F.lit(None).cast(f"struct<{FOUND.replace(' long', ':long').replace(' array', ':array')}>"))
-    full = out.schema
-    for k, block in enumerate([*blocks(items, item_id, item_text, max_chars)] or [[]]):
+    """``docs`` with ``_lx`` (n_words, spans, items).
+
+    One block of items is one narrow pass.  Of several only one is in memory at
+    a time: each passes over the texts and writes the hits it finds, which join
+    the rows by a number that they are written with first.
+    """
+    spark, column = docs.sparkSession, f"struct<{FOUND.replace(' long', ':long').replace(' array', ':array')}>"
+    kind, found = to_arrow_type(T._parse_datatype_string(column)), None
+    all_ = blocks(items, item_id, item_text, max_chars)
+    block, more = next(all_, []), next(all_, None)
+    if more is None:
         shared = spark.sparkContext.broadcast(Automaton(block, window))
+        schema = docs.withColumn("_lx", F.lit(None).cast(column)).schema
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sub_batches(batches, text_col):
-                n = batch.schema.get_field_index(text_col)
-                before = batch.column(batch.num_columns - 1).to_pylist()
-                rows = []
-                for text, old in zip(batch.column(n).to_pylist(), before, strict=True):
-                    own = words(text)
-                    spans, hit = automaton.find(own)
-                    if old:
-                        spans, hit = _join_spans(spans, [(s["start"], s["end"]) for s in old["spans"]]), hit | set(old["items"])
-                    rows.append({"n_words": len(own), "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(hit)})
-                kind = batch.schema.field(batch.num_columns - 1).type
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], batch.schema.names)
-
-        if k:
-            out = materialise(out, "decontam")
-        out = out.mapInArrow(run, full)
-    return out
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_found(batch, shared.value, text_col), kind)], [*batch.schema.names, "_lx"])
+
+        return docs.mapInArrow(run, schema)
+    numbered = materialise(docs.withColumn("_lx_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select("_lx_row", F.col(text_col).alias("_lx_text"))
+    for k, block in enumerate(chain([block, more], all_)):
+        shared = spark.sparkContext.broadcast(Automaton(block, window))
+
+        def hits(batches: Iterator[pa.RecordBatch], shared=shared, every=k == 0) -> Iterator[pa.RecordBatch]:
+            for batch in sub_batches(batches, "_lx_text"):
+                got = _found(batch, shared.value, "_lx_text")
+                at = [i for i, x in enumerate(got) if every or x["spans"]]  # the first block tells the words of all
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([got[i] for i in at], kind)], ["_lx_row", "_lx"])
+
+        new = materialise(rows.mapInArrow(hits, f"_lx_row long, _lx {column}"), "hits")
+        found = new if found is None else found.unionByName(new)
+        shared.destroy()
+    # spans of several blocks in order, those that touch as one
+    ordered = F.array_sort(F.flatten(F.collect_list("_lx.spans")))
+    merged = F.aggregate(
+        ordered,
+        F.array().cast("array<struct<start:int,end:int>>"),
+        lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= s["start"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s))),
+    )
+    whole = found.groupBy("_lx_row").agg(F.struct(F.max("_lx.n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_lx.items")))).alias("items")).alias("_lx"))
+    return numbered.join(whole, "_lx_row").drop("_lx_row").select(*docs.columns, "_lx")
 
 
 def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -246,7 +263,8 @@ def _put(batch: pa.RecordBatch, changed: dict[int, str], text_col: str, chars_co
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that are not contaminated, in the columns of the input.
 
-    Documents above the share are left out; from others the spans are cut, and
+    Null texts and texts without words stay as they are; rows are judged each,
+    so repeated ones stay repeated.  Documents above the share are left out; from others the spans are cut, and
     their character count follows the text.  One block of items does this in one
     pass.  Several mark the spans of all of them first, so that the share and
     every cut are of all items, and look again at what was cut.

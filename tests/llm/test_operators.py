@@ -381,8 +381,8 @@ def test_warc(spark):
     big = "x" * 1000
     rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, None, None), (4, "u", ""), (5, "u\r\nX: y", big), (6, "v", big), (7, "v", "né" * 300), (7, "v", "né" * 300), (7, "v", "other"), (None, "n", "only")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(0), "size": F.lit("s")})
-    for least in (0, 10):
-        archive = warc.records(warc.plan(pages, min_bytes=least), chunk=256)
+    for least, digests in ((0, 400_000), (0, 0), (10, 400_000)):
+        archive = warc.records(warc.plan(pages, min_bytes=least, broadcast_digests=digests), chunk=256)
         got = warc.read(archive).collect()
         last = {}
         for i, _, h in rows:
@@ -395,10 +395,12 @@ def test_warc(spark):
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert archive.agg(F.max(F.length("data"))).first()[0] < 1200
     out = io.BytesIO()
-    size = warc.export(archive.where("page_id = 6").orderBy("chunk_no").collect(), out)
+    size = warc.export(archive.where("record_id like '<urn:lectern:page:id=6:%'").orderBy("chunk_no").collect(), out)
     raw = out.getvalue()
-    assert size == len(raw) and raw.startswith(b"WARC/1.1\r\n") and raw.endswith(big.encode()[-100:] + b"\r\n\r\n") and b"\r\nX: y" not in warc.header(5, "u\r\nX: y", "response", None, "00", 1)
+    assert size == len(raw) and raw.startswith(b"WARC/1.1\r\n") and raw.endswith(big.encode()[-100:] + b"\r\n\r\n") and b"\r\nX: y" not in warc.header(5, "u\r\nX: y", "response", None, "00", 1, 1)
     assert warc.read(warc.records(warc.plan(pages.where("1 = 0")))).count() == 0
+    named = pages.select(F.when(F.col("page_id") > 2, F.concat(F.lit("a:b "), "page_id")).otherwise("null").alias("page_id"), "url", "html")
+    assert {r.page_id for r in warc.read(warc.records(warc.plan(named)), "string").collect()} == {"a:b 3", "a:b 4", "a:b 5", "a:b 6", "a:b 7", "null"}
 
 
 def test_crf_marginals_equal_enumeration():
@@ -442,5 +444,9 @@ def test_classifier(spark, docs, empty):
     scores = crf.score_table(docs, model, keep_columns=True)
     assert scores.columns == [*docs.columns, "_score"] and scores.where("_score between 0 and 1").count() == docs.count()
     assert crf.score_table(empty, model).count() == 0
+    assert np.isfinite(crf.train(frame, labels, per_class=100, sample_bytes=1).weights).all()  # one document at least
+    long = frame.select("doc_id", F.when(F.col("doc_id") < 4, F.repeat(F.concat("text", F.lit("\n")), 300)).otherwise(F.col("text")).alias("text"))
+    again = {r.doc_id: r._score for r in crf.score_table(frame, crf.train(long, labels, per_class=400)).collect()}
+    assert sum((again[k] >= 0.5) == (k % 3 != 0) for k in held) / len(held) > 0.97  # texts of many lines are learned too
     none = crf.train(frame, labels.where("1 = 0"))
     assert crf.score_table(frame, none).agg(F.countDistinct("_score")).first()[0] == 1
