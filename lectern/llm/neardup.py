@@ -169,16 +169,44 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, *more: C
     return rows.mapInArrow(run, f"id {kind}, n long, class binary, bands array<long>, sketch array<long>{others}")
 
 
+#: Keys of more rows than this, and than one in so many of all rows, meet by broadcast.
+HOT_ROWS, HOT_KEYS = 200, 20_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``left`` joined to ``right``, which has few rows of a key, without bringing a frequent key's rows together.
+
+    ``counts`` has the number ``_n`` of left rows of each ``key``.  Keys of more
+    than ``HOT_ROWS`` rows and more than a share of ``HOT_KEYS`` of them, so at
+    most ``HOT_KEYS`` keys, stay where they are and get their few rows by
+    broadcast; the others are shuffled.  All three are read more than once, so
+    they should be written tables or cheap.
+    """
+    limit = max(HOT_ROWS, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS)
+    hot = materialise(counts.where(F.col("_n") > limit).select(F.col(key).alias("_hot")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = materialise(right.join(F.broadcast(hot), F.col(key) == F.col("_hot")).drop("_hot"), "few")
+    often = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi").join(F.broadcast(few), key)
+    rest = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_anti").join(right, key)
+    return often.unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of ``edges`` (a, b): stars to smaller nodes until nothing changes."""
+    """(node, root) of all nodes of ``edges`` (a, b): stars to smaller nodes until nothing changes.
+
+    Least neighbours are found task by task first, and a hub's edges meet its
+    least neighbour by broadcast, so a large group is not one task's work.
+    """
     edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        met = large.join(low, F.col("u") == F.col("k"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n"), "low")
+        large = join_hot(both, low.select("u", "m"), "u", low.select("u", "_n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialise(large, "large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), "low")
+        met = join_hot(large, low.select("u", "m"), "u", low.select("u", "_n"))
         small = met.select("u", F.col("m").alias("v")).unionByName(met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         edges = materialise(small.distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -231,20 +259,21 @@ def prefix_pairs(members: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, *more: Column) -> tuple[DataFrame, DataFrame]:
-    """The sketches of every row, and (class, rep, root) of every distinct set."""
+    """The sketches of every row, and (class, rep, root, number of rows) of every distinct set."""
     every = materialise(sketches(docs, id_col, text_col, shingle, *more), "sketches")
     # copies come together first, task by task, and count once from here on
-    own = every.where("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    own = every.where("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("_n"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     own = materialise(own, "distinct")
-    reps = own.select("class", "rep")
+    reps = own.select("class", "rep", "_n")
     banded = own.select("class", F.explode("bands").alias("bucket"))
-    if_many = banded.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
-    members = materialise(banded.join(if_many, "bucket"), "buckets")
-    sized = members.groupBy("bucket").agg(F.count("*").alias("members"))
-    degree = members.join(sized, "bucket").groupBy("class").agg(F.sum("members").alias("degree"))
+    # a class may have a bucket twice, by two bands of one key
+    sized = materialise(banded.groupBy("bucket").agg(F.count("*").alias("members"), (F.min("class") < F.max("class")).alias("several")).where("several").drop("several"), "sizes")
+    counts = sized.select("bucket", F.col("members").alias("_n"))
+    members = materialise(join_hot(banded, sized, "bucket", counts), "buckets")
+    degree = members.groupBy("class").agg(F.sum("members").alias("degree"))
     led = members.join(degree, "class").withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "class"))).where(F.col("at") <= LEADERS)
-    leaders = led.select("bucket", F.col("class").alias("leader"))
-    met = members.join(leaders, "bucket").where("class <> leader")
+    leaders = materialise(led.select("bucket", F.col("class").alias("leader")), "leaders")
+    met = join_hot(members, leaders, "bucket", counts).where("class <> leader")
     pairs = met.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
     sketch = own.select("class", "sketch", "n")
     near = pairs.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("a_sketch"), F.col("n").alias("a_n")), "a")
@@ -254,7 +283,8 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     near = materialise(near.where(sizes & (estimate(differing) >= SKETCH_FLOOR)).select("a", "b"), "pairs")
 
     ends = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
-    large = members.join(sized.where(F.col("members") > LEADERS + 1), "bucket").select("class").distinct()
+    crowd = members.where(F.col("members") > LEADERS + 1).select("bucket", "class")
+    large = crowd.select("class").distinct()
     wanted = ends.unionByName(large).distinct().join(reps, "class")
     given = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).cast("string").alias("text"))
     # a class's text is that of its first id; where an id has several texts their sets are compared with the class
@@ -270,23 +300,28 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     roots = materialise(components(links), "roots")
 
     # members of large buckets that are not yet in one component
-    rooted = members.join(sized.where(F.col("members") > LEADERS + 1), "bucket").join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    rooted = crowd.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    rooted = materialise(rooted, "rooted")
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = rooted.join(apart, "bucket", "left_semi").select("class", "root").distinct()
+    open_ = join_hot(rooted, apart, "bucket", counts).select("class", "root").distinct()
     late = prefix_pairs(open_.join(texts, "class"), shingle, percent)
     late = materialise(confirm(materialise(late, "pairs"), texts, shingle, percent), "links")
     if not late.isEmpty():
         roots = materialise(components(links.unionByName(late)), "roots")
-    return every, reps.join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
+    named = reps.join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("root"), "_n")
+    return every, materialise(named, "named")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     every, named = _rooted(docs, id_col, text_col, shingle, percent)
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(smallest, "root").select(F.col("class").alias("c_class"), "component_id")
-    out = every.select("id", "n", "class").join(of_class, F.col("class") == F.col("c_class"), "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    smallest = materialise(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("_n")), "smallest")
+    of_class = join_hot(named.select("class", "root", F.col("_n").alias("rows")), smallest.select("root", "component_id"), "root", smallest.select("root", "_n"))
+    of_class = materialise(of_class.select("class", "component_id", F.col("rows").alias("_n")), "of_class")
+    own = every.where("n > 0").select("id", "n", "class")
+    out = join_hot(own, of_class.select("class", "component_id"), "class", of_class.select("class", "_n")).select("id", "n", "component_id")
+    out = out.unionByName(every.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.withColumnRenamed("n", "n_shingles")
 
 
 #: Dropped rows up to this count are broadcast, some 20 MB; more are shuffled.
