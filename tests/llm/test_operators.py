@@ -280,8 +280,10 @@ def test_near_duplicates_of_null_and_reused_ids(spark):
         assert found == Counter({(1, "n"): 1, (None, "u"): 1, (None, "v"): 1, (5, "A"): 1, (3, "B"): 1, (7, "C"): 1, (8, "D"): 1, (9, "E"): 1, (None, None): 2, (4, ""): 2})
 
 
-def test_near_duplicates_of_a_large_group(spark):
-    """More members than leaders, many of them linked with others than the leaders."""
+@pytest.mark.parametrize("hot", [200, 3])
+def test_near_duplicates_of_a_large_group(spark, monkeypatch, hot):
+    """More members than leaders, many of them linked with others than the leaders; frequent keys in parts or not."""
+    monkeypatch.setattr(neardup, "HOT_ROWS", hot)
     rng = random.Random(3)
     base = [f"w{rng.randrange(900)}" for _ in range(60)]
     rows = []
