@@ -132,10 +132,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = HOST_RATE) -> DataFrame:
     """The documents that pass, with the columns of the input.
 
-    Rates need a pass over all texts and the filter another; counting twice
-    spares a shuffle or a copy of the texts.
+    Null and empty texts have too few words and go; rows whose host is null are
+    judged by their own rules only; repeated rows are judged each; other columns
+    pass unread.  The texts are counted once, in a pass that writes the rows
+    with their failure and without the texts that failed.
     """
-    failed = fails(word_counts(F.col(text_col)))
-    rates = materialise(host_rates(docs.select(F.col(host_col).alias("host"), failed.alias("failed"))), "hosts")
-    good = join_hosts(docs.where(~failed), host_col, rates, max_rate)
+    failed, rest = F.col("_lx_failed"), [c for c in docs.columns if c != text_col]
+    judged = docs.withColumn("_lx_failed", fails(word_counts(F.col(text_col))))
+    judged = materialise(judged.select(F.when(~failed, F.col(text_col)).alias(text_col), *rest, failed), "judged")
+    rates = materialise(host_rates(judged.select(F.col(host_col).alias("host"), failed.alias("failed"))), "hosts")
+    good = join_hosts(judged.where(~failed), host_col, rates, max_rate)
     return good.where(~F.col("_host_bad")).select(*docs.columns)
