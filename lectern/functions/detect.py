@@ -69,6 +69,16 @@ def json_confidence(text: Column) -> Column:
     return F.when(own.startswith("["), let(F.try_variant_get(F.try_parse_json(own), "$", "array<variant>"), of)).otherwise(0.0)
 
 
+def json_array(text: Column) -> Column:
+    """Struct of item_count and is_dict_array of a JSON array; null for other texts."""
+
+    def of(items: Column) -> Column:
+        objects = (F.size(items) > 0) & F.forall(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+        return F.when(items.isNotNull(), F.struct(F.size(items).alias("item_count"), objects.alias("is_dict_array")))
+
+    return F.when(trim(text).startswith("["), let(F.try_variant_get(F.try_parse_json(trim(text)), "$", "array<variant>"), of))
+
+
 def diff_confidence(text: Column) -> Column:
     def of(rows: Column) -> Column:
         some = lambda h: F.when(h == 0, 0.0).otherwise(_one(0.5 + 0.2 * h + 0.05 * _counted(rows, DIFF_CHANGE)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ from ..sources.shared import materialise
 from . import kernels
 from .agent import ERROR_BYTES, ERROR_PATTERNS, TYPES, AgentPolicy
 
+#: Fixed value: the warning where markers are wanted and nothing can be stored.
+NO_STORE = "compression.reversible requested but ccr is disabled; reversible markers are disabled"
 CONTEXT, SUMMARY = "[Earlier conversation context]", "[Earlier conversation summary]"
 
 
@@ -47,6 +50,21 @@ class CompactConfig:
     reversible: bool = True
     policy: AgentPolicy = field(default_factory=AgentPolicy)
     enabled: tuple[str, ...] = ("smart_crusher", "log_stripper", "ast_code", "semantic")
+    #: Whether there is a store for originals; without one nothing is cleared or marked.
+    stored: bool = True
+    #: A summariser of one's own for old turns; where it fails, first sentences do.
+    summarizer: Callable[[list[Message]], str] | None = None
+    compressors: tuple = ()
+    cache_policy: str = "none"
+    cache_suffix: int = 1
+
+    @property
+    def marks(self) -> bool:
+        return self.reversible and self.stored
+
+    @property
+    def warnings(self) -> list[str]:
+        return [NO_STORE] if self.reversible and not self.stored else []
 
 
 def _patterns(*parts: str) -> re.Pattern:
@@ -151,7 +169,7 @@ class Cascade:
 
     def clear(self, messages: list[Message]) -> list[Message]:
         p = self.config.policy
-        if not p.clear_stale or not self.config.reversible:
+        if not p.clear_stale or not self.config.marks:
             return messages
         tail, out, slots = tail_mask(messages, p.protected_tail_tokens), list(messages), 0
         for i in range(len(messages) - 1, -1, -1):
@@ -169,10 +187,12 @@ class Cascade:
     def compress(self, m: Message) -> Message:
         if m.pinned:
             return m
-        name = D.ROUTES[detect(m.content)]
-        if name not in self.config.enabled:
+        kind_ = detect(m.content)
+        own = {c.name: c.run for c in self.config.compressors}
+        name = next((c.name for c in self.config.compressors if kind_ in c.content_types), D.ROUTES[kind_])
+        if name not in self.config.enabled and name not in own:
             return m
-        text, saved, _ = kernels.compress(name, m.content, self.focus, self.config.reversible)
+        text, saved, _ = kernels.compress(name, m.content, self.focus, self.config.marks, own)
         if text == m.content:
             return m
         self.saved.update(saved)
@@ -201,9 +221,17 @@ class Cascade:
             return messages
         start, recent = self._bands(messages, 4)
         old = messages[:start]
-        head = [Message("system", f"{CONTEXT}: {summarise(old)}")] if old else []
+        head = [Message("system", self._summary(old))] if old else []
         return [*map(self.compress, head + messages[start:recent]), *messages[recent:]]
 
+    def _summary(self, old: list[Message]) -> str:
+        if self.config.summarizer is not None:
+            try:
+                return f"{SUMMARY}\n{self.config.summarizer(old)}"
+            except Exception:  # noqa: BLE001  whatever goes wrong, first sentences do
+                pass
+        return f"{CONTEXT}: {summarise(old)}"
+
     def drop(self, messages: list[Message], limit: int) -> list[Message]:
         """Oldest groups of a call and its results, in one pass.
 
@@ -311,6 +339,9 @@ class CompactResult:
     folds: DataFrame
     reports: DataFrame
     originals: DataFrame
+    plans: DataFrame
+    warnings: DataFrame
+    status: DataFrame
 
 
 def columns(messages: DataFrame) -> DataFrame:
@@ -338,5 +369,11 @@ def compact(messages: DataFrame, config: CompactConfig = CompactConfig()) -> Com
         return pa.table({"conv_id": pa.array([key[0].as_py()] * n, table.schema.field("conv_id").type), "what": [b[0] for b in body], "seq": pa.array([b[1] for b in body], pa.int32()), "body": [json.dumps(b[2], ensure_ascii=False) for b in body]})
 
     done = materialise(rows.groupBy("conv_id").applyInArrow(run, f"conv_id {kind_}, what string, seq int, body string"), "compact")
+    from .cache import plan
+
     part = lambda what, schema: done.where(F.col("what") == what).select("conv_id", "seq", F.from_json("body", schema).alias("b")).select("conv_id", F.col("seq").alias("idx"), "b.*")
-    return CompactResult(part("message", MESSAGE), part("fold", FOLD), part("report", REPORT).drop("idx"), part("original", "id string, original string").drop("idx", "conv_id").dropDuplicates(["id"]))
+    now, reports = part("message", MESSAGE), part("report", REPORT).drop("idx")
+    plans = plan(now.select("conv_id", F.col("idx").alias("turn"), "role", "content"), config.cache_policy, config.cache_suffix, config.model)
+    warned = reports.select("conv_id", F.explode(F.array(*map(F.lit, config.warnings)).cast("array<string>")).alias("warning"))
+    status = reports.select("conv_id", F.when(F.col("error").isNull(), "ok").otherwise("budget_exceeded").alias("status"), "error")
+    return CompactResult(now, part("fold", FOLD), reports, part("original", "id string, original string").drop("idx", "conv_id").dropDuplicates(["id"]), plans, warned, status)

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import any_of
+from .kernels import LEVELS, LOG_FORMATS, SCORES
+
 SUMMARY_PATTERN = (
     r"^(?:===|---|\d+ (?:passed|failed|skipped|error|warning)|(?:Tests?|Suites?)[ :]\s*[0-9]|(?:TOTAL|Total|Summary))"
     r"|^(?:Build|Compile)(?=.*(?:succeeded|failed|complete))|^Test(?!s?[ :])(?=.*(?:succeeded|failed|complete))"
 )
-LEVELS = [("error", ["ERROR", "FATAL", "CRITICAL"]), ("fail", ["FAIL"]), ("warn", ["WARN"]), ("info", ["INFO"]), ("debug", ["DEBUG"]), ("trace", ["TRACE"])]
-SCORES = {"error": 1.0, "fail": 1.0, "warn": 0.5, "info": 0.1, "unknown": 0.1, "debug": 0.05, "trace": 0.02}
 
 
 def level(line: Column) -> Column:
@@ -39,6 +40,16 @@ def similar(line: Column) -> Column:
     return F.concat(head, F.regexp_replace(F.regexp_replace(rest, r"[0-9a-fA-F]+", "H"), r"/[^\s]*", "/P/"))
 
 
+def log_format(lines: DataFrame) -> DataFrame:
+    """(log_id, format): of a log's first 100 lines, whichever format's words most lines hold; ties by list order."""
+    head = lines.where("line_no < 100")
+    counts = []
+    for k, (name, parts) in enumerate(LOG_FORMATS.items()):
+        counts.append(F.struct(F.sum(any_of(F.col("line"), list(parts)).cast("int")).alias("n"), F.lit(-k).alias("place"), F.lit(name).alias("name")))
+    best = head.groupBy("log_id").agg(F.array_max(F.array(*counts)).alias("best"))
+    return best.select("log_id", F.when(F.col("best.n") > 0, F.col("best.name")).otherwise("generic").alias("format"))
+
+
 def score(level_: Column, stack: Column, summary: Column) -> Column:
     base = None
     for name, s in SCORES.items():

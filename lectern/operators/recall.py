@@ -40,6 +40,22 @@ def build(docs: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
     return rows.select("id", F.size("terms").cast("long").alias("len"), "preview"), postings
 
 
+def upsert(docs: DataFrame, new: DataFrame, tag_kinds: tuple[str, ...] = ("tool_names", "error_classes", "file_paths")) -> DataFrame:
+    """An index's rows (id, text and tags) with new ones: of one id the new text, and the tags of both.
+
+    ``new`` has a ``seq`` that orders rows of one id; ``docs`` come before.
+    """
+    both = docs.withColumn("seq", F.lit(-1).cast("long")).unionByName(new.withColumn("seq", F.col("seq").cast("long")))
+    merged = [F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))), 1, 64).alias(k) for k in tag_kinds]
+    rest = [F.max_by(c, "seq").alias(c) for c in docs.columns if c not in ("id", *tag_kinds)]
+    return both.groupBy("id").agg(*rest, *merged).select(*docs.columns)
+
+
+def remove(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without these ids."""
+    return docs.join(ids.select("id").distinct(), "id", "left_anti")
+
+
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -77,5 +93,6 @@ def search(docs: DataFrame, postings: DataFrame, query: str, limit: int = 10) ->
 
 
 def find_by_tag(folds: DataFrame, kind: str, value: str) -> DataFrame:
-    """Folds that have a tag of this kind, in any case."""
-    return folds.where(F.exists(kind, lambda t: F.lower(t) == value.lower()))
+    """Folds that have a tag of this kind, in any case of A to Z."""
+    low = lambda t: F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return folds.where(F.exists(kind, lambda t: low(t) == value.translate(_ASCII_LOWER)))

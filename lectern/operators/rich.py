@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect as D
 from ..functions import keys, tokens
+from ..sources.batches import cut_batches
 from . import kernels
 
 BLOCK = "struct<type:string,text:string,id:string,name:string,input_json:string,tool_use_id:string,is_error:boolean,content_json:string,kind:string,id_or_path:string,image:struct<kind:string,media_type:string,data:string,url:string,alt:string>>"
@@ -88,7 +89,7 @@ def compress_blocks(rich: DataFrame, thinking: bool = False) -> DataFrame:
         return text if text is None else kernels.compress(D.ROUTES[detect(text)], text, (), False)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut_batches(batches, "original", 4 << 20):
             t, b = batch.schema.get_field_index("text"), batch.schema.get_field_index("blocks")
             blocks = batch.column(b).to_pylist()
             for row in blocks:

@@ -115,6 +115,12 @@ def knee(curve: DataFrame, id_: str, idx: str, value: str) -> DataFrame:
     return best.select(id_, F.when(F.col("n") < 3, None).when(F.col("rise") == 0, 1).when(F.col("best.above") >= 0.05, 1 - F.col("best.col2")).cast("int").alias("knee"))
 
 
+def split_k(total: Column, first: float = 0.3, last: float = 0.15) -> tuple[Column, Column]:
+    """How many items stay at either end, halves to even."""
+    a = F.least(F.greatest(F.lit(1), F.bround(total * first).cast("int")), total)
+    return a, F.least(F.greatest(F.lit(1), F.bround(total * last).cast("int")), F.greatest(total - a, F.lit(0)))
+
+
 def format_g(value: Column) -> Column:
     """Four significant digits; scientific from 1e4 and below 1e-4, without trailing zeros.
 

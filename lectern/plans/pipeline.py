@@ -17,10 +17,15 @@ from pyspark.sql import types as T
 from ..functions import detect as D
 from ..functions import focus as focus_
 from ..functions import tokens
+from ..functions.text import collapse
 from ..operators import kernels
+from ..sources.batches import cut_batches
 from ..sources.shared import materialise
+from .extensions import Compressor
 
-BUILT_IN = ("smart_crusher", "log_stripper", "ast_code", "semantic", "dedup_ref", "toon")
+BUILT_IN = tuple(kernels.COMPRESSORS)
+#: Bytes of content in one Arrow batch that is reduced.
+BATCH_BYTES = 4 << 20
 DEFAULT = ("smart_crusher", "log_stripper", "ast_code", "semantic")
 
 
@@ -31,9 +36,10 @@ class CompressConfig:
     align: bool = False
     question: str | None = None
     content: str = "content"
+    compressors: tuple[Compressor, ...] = ()
 
     def __post_init__(self):
-        if unknown := set(self.enabled) - set(BUILT_IN):
+        if unknown := set(self.enabled) - set(BUILT_IN) - {c.name for c in self.compressors}:
             raise ValueError(f"unknown compressors: {sorted(unknown)}")
 
 
@@ -45,13 +51,17 @@ class CompressResult:
 
 
 def align_text(text: Column) -> Column:
-    """Key-sorted compact JSON where a text is JSON, else white-space runs as one space."""
+    """Key-sorted compact JSON where a text is JSON, else white-space runs as one space.
+
+    Only texts that begin like JSON leave the JVM, where numbers would lose their spelling.
+    """
+    like = text.rlike(r'^(?U)\s*(?:[\[{"\-0-9]|(?:true|false|null|NaN|Infinity)\s*$)')
 
     @F.pandas_udf("string")
     def run(values):
         return values.map(lambda v: v if v is None else kernels.align(v))
 
-    return run(text)
+    return F.when(like, run(F.when(like, text))).otherwise(collapse(text))
 
 
 def minify(text: Column) -> Column:
@@ -67,7 +77,10 @@ def minify(text: Column) -> Column:
 def routed(messages: DataFrame, config: CompressConfig = CompressConfig()) -> DataFrame:
     """Messages with detection and the compressor's name."""
     found = messages.withColumn("detected", D.detect(F.col(config.content)))
-    return found.withColumn("compressor", D.route(F.col("detected.content_type"), config.enabled))
+    name = D.route(F.col("detected.content_type"), config.enabled)
+    for own in reversed(config.compressors):
+        name = F.when(F.col("detected.content_type").isin(*own.content_types), own.name).otherwise(name) if own.content_types else name
+    return found.withColumn("compressor", name)
 
 
 def reduce(rows: DataFrame, config: CompressConfig) -> DataFrame:
@@ -77,9 +90,10 @@ def reduce(rows: DataFrame, config: CompressConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("id", pa.string()), ("original", pa.string())]))
-        for batch in batches:
+        own = {c.name: c.run for c in config.compressors}
+        for batch in cut_batches(batches, config.content, BATCH_BYTES):
             at = batch.schema.get_field_index
-            done = [kernels.compress(n, t or "", terms, config.reversible) for n, t in zip(batch.column(at("compressor")).to_pylist(), batch.column(at(config.content)).to_pylist(), strict=True)]
+            done = [kernels.compress(n, t or "", terms, config.reversible, own) for n, t in zip(batch.column(at("compressor")).to_pylist(), batch.column(at(config.content)).to_pylist(), strict=True)]
             more = [pa.array([d[0] for d in done], pa.string()), pa.array([[{"id": i, "original": o} for i, o in d[1]] for d in done], kind), pa.array([d[2] for d in done], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "reduced", "saved", "failed"])
 

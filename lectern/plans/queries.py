@@ -287,11 +287,17 @@ def payload_reduction(spark, d):
     return out.select("source", "payload_id", "compressor", "content", "ccr_id")
 
 
-@_query("SELECT array_id, idx, item AS aligned, item AS small FROM ei", (I,))
+_FIELDS = ", p AS (SELECT array_id, idx, item, regexp_extract(item, '\"id\":([0-9]+)', 1) AS id, regexp_extract(item, '\"type\":\"([a-z]+)\"', 1) AS type FROM ei)"
+
+
+@_query(_FIELDS + " SELECT array_id, idx, item AS aligned, item AS small, 'Row ' || id || ' is ' || type || ' ok' AS prose_aligned, 'Row ' || id || '   is ' || type || ' ok' AS prose_small FROM p", (I,))
 def json_minify_align(spark, d):
+    """JSON with keys out of order and white space, and prose of several lines."""
     rows = view(spark, d, EVENT_ITEMS)
-    loose = F.concat(F.lit(" "), F.replace("item", F.lit(","), F.lit(" , ")))
-    return rows.select("array_id", "idx", pipeline.align_text(loose).alias("aligned"), pipeline.minify(loose).alias("small"))
+    of = lambda k: F.get_json_object("item", f"$.{k}")
+    loose = F.concat(F.lit(' { "type" : "'), of("type"), F.lit('",\n "note":   "'), of("note"), F.lit('", "id" : '), of("id"), F.lit("}\n"))
+    prose = F.concat(F.lit("  Row "), of("id"), F.lit("   is "), of("type"), F.lit("\n \n\tok  "))
+    return rows.select("array_id", "idx", *[f(c).alias(n) for c, p in ((loose, ""), (prose, "prose_")) for f, n in ((pipeline.align_text, f"{p}aligned"), (pipeline.minify, f"{p}small"))])
 
 
 @_query(r""", s AS (SELECT conv_id, turn, trim(regexp_extract(content, '^([^.!?]*)', 1)) AS s FROM cv),
@@ -300,27 +306,52 @@ def summarise_turns(spark, d):
     return summary.summarise_turns(view(spark, d, CONVERSATIONS))
 
 
+def _summary(am: str, tag: str = "") -> str:
+    """CTE ``sm`` of structured summaries of a view of messages."""
+    out = _SUMMARY
+    for name in ("l", "k", "r", "g", "fi", "b", "sm"):
+        for before, after in ((f"{name} AS (", f"{name}{tag} AS ("), (f"FROM {name} ", f"FROM {name}{tag} "), (f"JOIN {name} ", f"JOIN {name}{tag} ")):
+            out = out.replace(before, after)
+    return out.replace("FROM am", f"FROM {am}")
+
+
 _SUMMARY = r""", l AS (SELECT conv_id, turn, content AS line FROM am),
 k AS (SELECT conv_id, line, min(turn) AS t, CASE WHEN starts_with(lower(line), 'decision:') THEN 'd' WHEN """ + _ERR.replace("content", "line") + r""" THEN 'e' WHEN starts_with(lower(line), 'todo') THEN 'n' END AS c FROM l GROUP BY conv_id, line),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, c ORDER BY t) AS i FROM k WHERE c IS NOT NULL),
 g AS (SELECT conv_id, string_agg(line, '#' ORDER BY t) FILTER (c = 'd') AS decisions, string_agg(line, '#' ORDER BY t) FILTER (c = 'e') AS errors, string_agg(line, '#' ORDER BY t) FILTER (c = 'n') AS next_steps FROM r WHERE i <= 20 GROUP BY conv_id),
 fi AS (SELECT conv_id, array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(content, '[A-Za-z0-9_./\-]+\.(?:rs|py)\b'))))), '#') AS files FROM am GROUP BY conv_id),
 b AS (SELECT conv_id, coalesce(trim(regexp_extract(arg_min(content, turn) FILTER (role = 'user'), '^([^.!?]*)', 1)), '') AS intent, count(*) AS turns_covered FROM am GROUP BY conv_id)
-SELECT conv_id, intent, coalesce(files, '') AS files, coalesce(decisions, '') AS decisions, coalesce(errors, '') AS errors, coalesce(next_steps, '') AS next_steps, turns_covered FROM b LEFT JOIN g USING (conv_id) LEFT JOIN fi USING (conv_id)"""
+, sm AS (SELECT conv_id, intent, coalesce(files, '') AS files, coalesce(decisions, '') AS decisions, coalesce(errors, '') AS errors, coalesce(next_steps, '') AS next_steps, turns_covered FROM b LEFT JOIN g USING (conv_id) LEFT JOIN fi USING (conv_id))"""
 
 
-@_query(_SUMMARY, (A,))
+@_query(_summary("am") + " SELECT * FROM sm", (A,))
 def structured_summary(spark, d):
     rows = summary.summarize(view(spark, d, AGENT_MESSAGES))
     return rows.select("conv_id", "intent", *[F.array_join(c, "#").alias(c) for c in ("files", "decisions", "errors", "next_steps")], "turns_covered")
 
 
-@_query()
+_SECTIONS = [("Files touched", "files"), ("Key decisions", "decisions"), ("Unresolved errors", "errors"), ("Next steps", "next_steps")]
+_BULLETS = ", ".join(f"CASE WHEN {c} <> '' THEN '## {t}' || chr(10) || '- ' || replace({c}, '#', chr(10) || '- ') END" for t, c in _SECTIONS)
+
+
+@_query(_summary("am") + f" SELECT conv_id, concat_ws(chr(10) || chr(10), CASE WHEN intent <> '' THEN '## Session intent' || chr(10) || intent END, {_BULLETS}) AS markdown FROM sm", (A,))
 def summary_markdown(spark, d):
     rows = summary.summarize(view(spark, d, AGENT_MESSAGES))
     return rows.select("conv_id", summary.markdown(rows).alias("markdown"))
 
 
+_LISTS = ("intent", "files", "decisions", "errors", "next_steps")
+
+
+@_query(", e AS (SELECT * FROM am WHERE turn < 20)" + _summary("am") + _summary("e", "1") + f""", c AS (SELECT conv_id, count(*) AS n FROM am WHERE turn >= 20 GROUP BY conv_id)
+SELECT conv_id, {", ".join(f"sm.{c}" for c in _LISTS)}, sm1.turns_covered + CASE WHEN {" OR ".join(f"sm.{c} <> sm1.{c}" for c in _LISTS)} THEN n ELSE 0 END AS turns_covered FROM sm JOIN sm1 USING (conv_id) JOIN c USING (conv_id)""", (A,))
+def summary_merge(spark, d):
+    """Summaries of earlier turns, and what later ones add."""
+    rows = view(spark, d, AGENT_MESSAGES)
+    merged = summary.merge(summary.summarize(rows.where("turn < 20")), summary.summarize(rows.where("turn >= 20")))
+    return merged.select("conv_id", "intent", *[F.array_join(c, "#").alias(c) for c in _LISTS[1:]], "turns_covered")
+
+
 @_query(""", i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n FROM am),
 a AS (SELECT *, max(CASE WHEN role NOT IN ('tool', 'function') AND idx <= greatest(n - 14, 0) THEN idx END) OVER (PARTITION BY conv_id) AS al, min(CASE WHEN pinned THEN idx END) OVER (PARTITION BY conv_id) AS pin FROM i),
 m AS (SELECT *, CASE WHEN pin IS NOT NULL AND pin < coalesce(al, 0) THEN pin ELSE coalesce(al, 0) END AS start FROM a)
@@ -367,12 +398,12 @@ def find_by_tag(spark, d):
     return recall.find_by_tag(tags.tags(view(spark, d, AGENT_MESSAGES), ["conv_id"]), "file_paths", "SRC/M3/job.py").select("conv_id")
 
 
-_WORDS = r""", t AS (SELECT conv_id * 1000 + turn AS id, unnest(list_filter(list_transform(string_split_regex(content, '[\s"''`(),;:\[\]{}=<>|!?*&@#%+~^$]+'), lambda x: regexp_replace(x, '^[^\pL\pN/._\\-]+|[^\pL\pN/._\\-]+$', '', 'g')), lambda x: length(regexp_replace(x, '[^\pL\pN]', '', 'g')) >= 2)) AS tok FROM cv),
+_WORDS = r""", t AS (SELECT conv_id || '-' || turn AS id, unnest(list_filter(list_transform(string_split_regex(content, '[\s"''`(),;:\[\]{}=<>|!?*&@#%+~^$]+'), lambda x: regexp_replace(x, '^[^\pL\pN/._\\-]+|[^\pL\pN/._\\-]+$', '', 'g')), lambda x: length(regexp_replace(x, '[^\pL\pN]', '', 'g')) >= 2)) AS tok FROM cv),
 s AS (SELECT id, lower(tok) AS term FROM t UNION ALL SELECT id, p AS term FROM (SELECT id, tok, unnest(list_transform(string_split_regex(regexp_replace(tok, '([\p{Ll}\pN])(\p{Lu})', '\1/\2', 'g'), '[/._\\-]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS p FROM t) WHERE p <> lower(tok) AND length(p) >= 2)"""
 
 
 def _recall_docs(spark, d):
-    return view(spark, d, CONVERSATIONS).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "content")
+    return view(spark, d, CONVERSATIONS).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "content")
 
 
 @_query(_WORDS + " SELECT id, term, count(*) AS tf FROM s GROUP BY id, term", (C,))
@@ -380,7 +411,7 @@ def recall_terms(spark, d):
     return recall.build(_recall_docs(spark, d), "id", "content")[1]
 
 
-@_query(_WORDS + """, ln AS (SELECT conv_id * 1000 + turn AS id FROM cv),
+@_query(_WORDS + """, ln AS (SELECT conv_id || '-' || turn AS id FROM cv),
 dl AS (SELECT ln.id, count(s.term) AS len FROM ln LEFT JOIN s ON s.id = ln.id GROUP BY ln.id), tot AS (SELECT count(*) AS n, avg(len) AS av FROM dl),
 tf AS (SELECT id, term, count(*) AS tf FROM s WHERE term IN ('the', 'then', 'eau', 'que') GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))) AS score FROM tf JOIN df USING (term) JOIN dl USING (id), tot GROUP BY id)
@@ -415,7 +446,12 @@ def gemini_candidate(spark, d):
     return cache.plan(view(spark, d, CONVERSATIONS), "gemini", 1).select("conv_id", "prefix_tokens", "cacheable", "content_key")
 
 
-@_query()
+_BLOCK = "'{\"type\":\"text\",\"text\":' || to_json(content) || CASE WHEN marked THEN ',\"cache_control\":{\"type\":\"ephemeral\"}' ELSE '' END || '}'"
+
+
+@_query(_PREFIX + f""", s AS (SELECT *, max(CASE WHEN role = 'system' THEN idx END) OVER (PARTITION BY conv_id) AS sys FROM i),
+m AS (SELECT *, coalesce(idx = sys, false) OR (n > 1 AND idx = n - 2 AND (sys IS NULL OR n - 2 > sys)) AS marked FROM s), bl AS (SELECT *, {_BLOCK} AS block FROM m)
+SELECT conv_id, '{{"system":[' || coalesce(string_agg(block, ',' ORDER BY idx) FILTER (role = 'system'), '') || '],"messages":[' || coalesce(string_agg('{{"role":"' || CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END || '","content":[' || block || ']}}', ',' ORDER BY idx) FILTER (role <> 'system'), '') || ']}}' AS request FROM bl GROUP BY conv_id""", (C,))
 def provider_render(spark, d):
     return cache.render(view(spark, d, CONVERSATIONS), 1)
 
@@ -462,7 +498,13 @@ def rich_compact(spark, d):
     return rows.select("conv_id", "idx", "role", rich.flatten(F.col("text"), F.col("blocks")).alias("flat"), "ccr_id")
 
 
-@_query()
+_KEYS = """, n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, 't' || CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS BIGINT) AS call FROM am),
+b AS (SELECT conv_id, turn, role, content, CASE WHEN role = 'tool' THEN '[{"type":"tool_result","tool_use_id":"' || call || '","is_error":' || CASE WHEN tool_status = 'error' THEN 'true' ELSE 'false' END || ',"content_json":' || to_json('[{"type":"text","text":' || to_json(content) || '}]') || '}]'
+  WHEN role = 'assistant' AND nx = 'tool' THEN '[{"type":"text","text":' || to_json(content) || '},{"type":"tool_use","id":"' || call || '","name":"run","input_json":"{}"}]' END AS blocks FROM n)
+SELECT conv_id, 'rich-s2:' || left(sha256(string_agg(role || chr(31) || CASE WHEN blocks IS NULL THEN content ELSE '' END || chr(31) || coalesce(blocks, ''), chr(30) ORDER BY turn)), 32) AS content_key FROM b GROUP BY conv_id"""
+
+
+@_query(_KEYS, (A,))
 def rich_keys(spark, d):
     return rich.canonical(_rich(spark, d))
 
@@ -508,4 +550,127 @@ def sized_samples(spark, d):
     return rows.select("array_id", best("items").alias("k"), F.size("items").alias("n"))
 
 
+_STORED = "'[no content stored for ' || key || ']'"
+
+
+@_query(f", {_CLEARED} SELECT conv_id, turn, key AS id, CASE WHEN right(key, 1) = '0' THEN {_STORED} ELSE original END AS original FROM cl WHERE cleared", (A,))
+def store_roundtrip(spark, d):
+    """Originals saved twice, some deleted, and all asked for by their markers."""
+    rows = agent.clear_tool_results(view(spark, d, AGENT_MESSAGES))
+    own = store.entries(agent.originals(rows), "id", "original")
+    table = store.delete(store.save(store.save(own.limit(0), own), own), own.where("id like '%0'"))
+    asked = rows.where("cleared").select("conv_id", "turn", keys.first_marker(F.col("content")).alias("request"))
+    return store.retrieve(asked, "request", store.live(table)).select("conv_id", "turn", "id", "original")
+
+
+@_query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"payload":1,"media_type":"text/plain","enc":"utf8","data":' || to_json(props) ELSE '{"payload":1,"media_type":"text/plain","enc":"hex","data":"ff' || printf('%02x', event_id % 256) || '"' END || ',"metadata":{"type":"' || event_type || '"}}' AS coded,
+CASE WHEN event_id % 2 = 0 THEN lower(hex(props)) ELSE 'ff' || printf('%02x', event_id % 256) END AS data, event_type AS kind FROM events""")
+def payload_codec(spark, d):
+    """Text and bytes as JSON envelopes and back."""
+    raw = F.when(F.col("event_id") % 2 == 0, F.col("props").cast("binary")).otherwise(F.unhex(F.format_string("FF%02x", F.col("event_id") % 256)))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", store.encode_payload(raw, F.lit("text/plain"), F.create_map(F.lit("type"), "event_type")).alias("coded"))
+    back = store.decode_payload(F.col("coded"))
+    return rows.select("event_id", "coded", F.lower(F.hex(back["data"])).alias("data"), back["metadata"]["type"].alias("kind"))
+
+
+@_query(", c AS (SELECT series_id, CAST(count(*) AS INT) % 40 + 1 AS n FROM ev GROUP BY series_id), f AS (SELECT series_id, n, least(greatest(1, CAST(round_even(n * 0.3, 0) AS INT)), n) AS a FROM c) SELECT series_id, a AS first, least(greatest(1, CAST(round_even(n * 0.15, 0) AS INT)), greatest(n - a, 0)) AS last FROM f", (V,))
+def end_items(spark, d):
+    """How many items stay at the ends of arrays of different sizes."""
+    rows = view(spark, d, EVENT_VALUES).groupBy("series_id").agg((F.count("*").cast("int") % 40 + 1).alias("n"))
+    first, last = series.split_k(F.col("n"))
+    return rows.select("series_id", first.alias("first"), last.alias("last"))
+
+
+@_query(f", t AS (SELECT conv_id, CAST(sum({_TOK}) + 4 * count(*) AS BIGINT) AS n FROM cv GROUP BY conv_id) SELECT conv_id, CAST(n - ceil(n * 0.05) AS BIGINT) AS by_default, CAST(n - ceil(n * 0.2) AS BIGINT) AS by_fifth FROM t", (C,))
+def effective_limits(spark, d):
+    rows = token_estimate(spark, d)
+    return rows.select("conv_id", tokens.effective_limit(F.col("tokens")).alias("by_default"), tokens.effective_limit(F.col("tokens"), 0.2).alias("by_fifth"))
+
+
+@_query(r"WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\x0b\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x0b\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g') AS x FROM documents) SELECT doc_id, CASE WHEN length(x) > 160 THEN left(x, 160) || '…' ELSE x END AS preview FROM t")
+def recall_preview(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", recall.preview(F.coalesce("text", F.lit(""))).alias("preview"))
+
+
+@_query(""", t AS (SELECT 'f' || conv_id || '-' || (turn % 3) AS id, turn, content, tool_name FROM am WHERE tool_name IS NOT NULL)
+SELECT id, arg_max(content, turn) AS text, array_to_string(list_sort(list_distinct(list(tool_name))), ',') AS tool_names FROM t WHERE NOT ends_with(id, '-0') GROUP BY id""", (A,))
+def recall_upkeep(spark, d):
+    """An index that grows, replaces texts, merges tags and loses ids."""
+    rows = view(spark, d, AGENT_MESSAGES).where("tool_name is not null")
+    none = F.array().cast("array<string>")
+    folded = rows.select(F.concat(F.lit("f"), "conv_id", F.lit("-"), F.col("turn") % 3).alias("id"), F.col("content").alias("text"), F.array("tool_name").alias("tool_names"), none.alias("error_classes"), none.alias("file_paths"), F.col("turn").alias("seq"))
+    index = recall.upsert(folded.limit(0).drop("seq"), folded.where("seq < 20"))
+    index = recall.upsert(index, folded.where("seq >= 20"))
+    return recall.remove(index, index.where("id like '%-0'")).select("id", "text", F.array_join("tool_names", ",").alias("tool_names"))
+
+
+_FORMATTED = """
+SELECT user_id AS log_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS line_no,
+  CASE WHEN event_type = 'error' THEN 'make: stopped' WHEN user_id % 6 = 0 THEN 'PASSED [x]' WHEN user_id % 6 = 1 THEN 'npm WARN x' WHEN user_id % 6 = 2 THEN 'Compiling x' WHEN user_id % 6 = 3 THEN 'PASS x' ELSE concat('gcc ', event_type) END AS line
+FROM {events}
+"""
+_FORMATS = ", ".join(f"CAST(sum(CASE WHEN {' OR '.join(f'contains(line, {chr(39)}{p}{chr(39)})' for p in parts)} THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, parts in kernels.LOG_FORMATS.items())
+_MOST = "greatest(" + ", ".join(kernels.LOG_FORMATS) + ")"
+
+
+@_query(f", c AS (SELECT log_id, {_FORMATS} FROM fl WHERE line_no < 100 GROUP BY log_id) SELECT log_id, CASE WHEN {_MOST} = 0 THEN 'generic' {' '.join(f'WHEN {n} = {_MOST} THEN {chr(39)}{n}{chr(39)}' for n in kernels.LOG_FORMATS)} END AS format FROM c", (("fl", _FORMATTED),))
+def log_formats(spark, d):
+    return logs.log_format(view(spark, d, _FORMATTED))
+
+
+@_query("SELECT event_id, format('{:.4g}', event_id / 7.0) AS seventh, format('{:.4g}', event_id / 7.0e9) AS small, CAST(event_id AS VARCHAR) AS whole FROM events")
+def number_format(spark, d):
+    n = F.col("event_id").cast("double")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", series.format_g(n / 7.0).alias("seventh"), series.format_g(n / 7.0e9).alias("small"), series.format_number(n).alias("whole"))
+
+
+_POLICIES = [("none", 0), ("generic", 1024), ("anthropic", 4096), ("openai", 1024), ("gemini", 1024)]
+
+
+@_query(_PREFIX + f""", po(policy, least) AS (VALUES {', '.join(map(str, _POLICIES))}),
+q AS (SELECT p.*, policy, least FROM p CROSS JOIN po)
+SELECT conv_id, policy, CASE WHEN policy = 'none' THEN 0 ELSE prefix_messages END AS prefix_messages, CASE WHEN policy = 'none' THEN 0 ELSE prefix_tokens END AS prefix_tokens, policy <> 'none' AND prefix_tokens >= least AS cacheable,
+  CASE WHEN prefix_messages > 0 AND policy NOT IN ('none', 'anthropic') THEN 'prefix-s2:' || left(sha256(whole), 32) END AS content_key,
+  CASE WHEN policy = 'none' OR prefix_messages = 0 OR prefix_tokens >= least THEN '' WHEN policy = 'gemini' THEN 'candidate prefix is ' || prefix_tokens || ' tokens; Gemini explicit-cache minimums are model-dependent (~' || least || '+)' ELSE 'stable prefix is ' || prefix_tokens || ' tokens; provider prompt caching typically engages around ' || least || '+' END AS notes FROM q""", (C,))
+def cache_policies(spark, d):
+    """The plans of all policies; the smallest prefix is that of one model."""
+    rows, out = view(spark, d, CONVERSATIONS), None
+    for policy, _ in _POLICIES:
+        own = cache.plan(rows, policy, 1, "opus-4-5").select("conv_id", "policy", "prefix_messages", "prefix_tokens", "cacheable", "content_key", F.array_join("notes", ";").alias("notes"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@_query(", t AS (SELECT array_id, count(*) AS n FROM ei GROUP BY array_id) SELECT array_id, CASE array_id % 3 WHEN 0 THEN n WHEN 1 THEN n + 1 END AS item_count, CASE array_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_dict_array FROM t", (I,))
+def json_arrays(spark, d):
+    """Arrays of objects, mixed arrays, and texts that are no array."""
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "item"))), lambda x: x["item"]), ",")
+    kind = F.col("array_id") % 3
+    rows = view(spark, d, EVENT_ITEMS).groupBy("array_id").agg(inner.alias("items"))
+    text = F.when(kind == 0, F.concat(F.lit(" ["), "items", F.lit("]"))).when(kind == 1, F.concat(F.lit("["), "items", F.lit(", 1]"))).otherwise(F.concat(F.lit("["), "items"))
+    return rows.select("array_id", detect_.json_array(text).alias("j")).select("array_id", F.col("j.item_count").cast("long").alias("item_count"), "j.is_dict_array")
+
+
+@_query(f", t AS (SELECT conv_id, {_TOK} + 4 AS tok, coalesce(sum({_TOK} + 4) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 300 AS safe FROM am) SELECT conv_id, CAST(sum(tok) FILTER (safe) AS BIGINT) AS protected_tokens, count(*) FILTER (safe) AS protected FROM t GROUP BY conv_id", (A,))
+def protected_reports(spark, d):
+    out = compact(view(spark, d, AGENT_MESSAGES), CompactConfig(policy=agent.AgentPolicy(protected_tail_tokens=300)))
+    return out.reports.select("conv_id", "protected_tokens", F.size("protected").cast("long").alias("protected"))
+
+
+@_query(f", {_CLEARED}, x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM cl) SELECT conv_id, 'ok' AS status, CAST(count(*) FILTER (i < n) AS BIGINT) AS prefix_messages, 'prefix-s2:' || left(sha256(string_agg(role || chr(10) || content, chr(10) || '---' || chr(10) ORDER BY turn) FILTER (i < n)), 32) AS content_key FROM x GROUP BY conv_id HAVING count(*) > 1", (A,))
+def compact_plans(spark, d):
+    """Status and cache plan of compacted conversations."""
+    out = compact(view(spark, d, AGENT_MESSAGES), CompactConfig(cache_policy="openai"))
+    return out.status.join(out.plans, "conv_id").where("content_key is not null").select("conv_id", "status", "prefix_messages", "content_key")
+
+
+@_query("SELECT conv_id, turn, 'compression.reversible requested but ccr is disabled; reversible markers are disabled' AS warning FROM am", (A,))
+def compact_warnings(spark, d):
+    """Without a store nothing is cleared, and each conversation is warned."""
+    rows = view(spark, d, AGENT_MESSAGES)
+    out = compact(rows, CompactConfig(stored=False))
+    same = out.messages.select("conv_id", F.col("idx").alias("turn"), "content").join(rows.select("conv_id", "turn", "content"), ["conv_id", "turn", "content"], "left_semi")
+    return same.join(out.warnings, "conv_id").select("conv_id", "turn", "warning")
+
+
 __all__ = ["ORACLES", "QUERIES", "kernels"]

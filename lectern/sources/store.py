@@ -27,7 +27,16 @@ class EngineConfig:
         ttl = env.get("LECTERN_TTL", "86400")
         if not ttl.isdigit():
             raise ValueError(f"LECTERN_TTL is not a number of seconds: {ttl!r}")
-        return cls(env.get("LECTERN_ORIGINALS") or None, int(ttl) or None)
+        capacity = env.get("LECTERN_CAPACITY", "")
+        if capacity and not capacity.isdigit():
+            raise ValueError(f"LECTERN_CAPACITY is not a number of entries: {capacity!r}")
+        return cls(env.get("LECTERN_ORIGINALS") or None, int(ttl) or None, int(capacity) if capacity else None)
+
+    def open(self, spark: SparkSession) -> TableStore:
+        """The store at ``originals_path``."""
+        if not self.originals_path:
+            raise ValueError("no folder for originals: set originals_path or LECTERN_ORIGINALS")
+        return TableStore(spark, self.originals_path, self.ttl_seconds, self.capacity)
 
 
 def entries(rows: DataFrame, id_: str, original: str, ttl_seconds: int | None = None, media_type: str = TEXT) -> DataFrame:
@@ -71,6 +80,50 @@ TOOL = {
 }
 
 
+class TableStore:
+    """Originals in a folder: every change is a new version, and the newest whole one counts.
+
+    ``ttl_seconds`` and ``capacity`` are the engine's; a version is written next
+    to the one it reads, so readers of the old one aren't disturbed, and older
+    ones go.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int | None = None, capacity: int | None = None):
+        self.spark, self.path, self.ttl, self.capacity = spark, path.rstrip("/"), ttl_seconds, capacity
+
+    def _versions(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not self._fs.exists(root):
+            return []
+        done = [s.getPath() for s in self._fs.listStatus(root) if self._fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName().removeprefix("v")) for p in done)
+
+    def table(self, now: Column | None = None) -> DataFrame:
+        """What is stored and hasn't expired."""
+        versions = self._versions()
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{versions[-1]}") if versions else self.spark.createDataFrame([], SCHEMA)
+        return live(rows, now)
+
+    def _write(self, rows: DataFrame) -> None:
+        versions = self._versions()
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{versions[-1] + 1 if versions else 0}")
+        for old in versions[:-1]:
+            self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
+
+    def save(self, new: DataFrame) -> None:
+        """(id, original) rows, or whole entries; of one id the newest stays."""
+        rows = save(self.table(), new if "created_at" in new.columns else entries(new, "id", "original", self.ttl))
+        self._write(rows if self.capacity is None else within_capacity(rows, self.capacity))
+
+    def retrieve(self, requests: DataFrame, request: str) -> DataFrame:
+        return retrieve(requests, request, self.table())
+
+    def delete(self, ids: DataFrame) -> None:
+        self._write(delete(self.table(), ids))
+
+
 def collect_garbage(store: DataFrame, removed: DataFrame, remaining: DataFrame) -> DataFrame:
     """Ids that removed messages refer to and no remaining one does (both have content and ccr_id)."""
     of = lambda rows: rows.select(F.explode(keys.referenced(F.col("content"), F.col("ccr_id"))).alias("id")).distinct()
