@@ -6,6 +6,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ..sources.shared import materialise
+
 K1, B = 1.5, 0.75
 PREVIEW = 160
 #: Characters that part terms, and those kept inside one.
@@ -72,10 +75,26 @@ def query_terms(query: str) -> list[str]:
     return sorted(set(out))
 
 
+def write_index(docs: DataFrame, id_: str, text: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The index as written tables: terms of a text are found once, and postings lie in order of
+    their terms, so that a search reads the row groups of its terms only."""
+    rows = materialise(docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("terms"), preview(F.col(text)).alias("preview")), "terms")
+
+    def runs(ordered: Column) -> Column:
+        """Equal terms lie together: each run is a term and its count, in the text's own row."""
+        first = F.filter(F.transform(ordered, lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1) != t), i)), lambda i: i.isNotNull())
+        return let(first, lambda at: F.transform(at, lambda p, k: F.struct(F.get(ordered, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - p).cast("long").alias("tf"))))
+
+    each = rows.select("id", F.size("terms").alias("len"), F.explode(let(F.array_sort("terms"), runs)).alias("p")).select("id", "len", "p.term", "p.tf")
+    ordered = each.repartitionByRange(parts, "term") if parts else each.repartitionByRange("term")
+    return rows.select("id", F.size("terms").cast("long").alias("len"), "preview"), materialise(ordered.sortWithinPartitions("term", "id"), "postings")
+
+
 def search(docs: DataFrame, postings: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """The best ``limit`` documents by BM25: (id, score, preview).
 
-    Only postings of the query's terms are read on; totals are one row.
+    Only postings of the query's terms are read; totals are one row.  Postings
+    that carry lengths are ranked before they meet the documents.
     """
     wanted = query_terms(query)
     n, average = docs.agg(F.count("*"), F.avg("len")).first()
@@ -85,11 +104,13 @@ def search(docs: DataFrame, postings: DataFrame, query: str, limit: int = 10) ->
     df = F.coalesce(F.try_element_at(idf, F.col("term")), F.lit(0)) if wanted else F.lit(0)
     weight = F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(average or 1.0))))
-    scored = hits.join(docs, "id").select("id", "preview", "term", part.alias("part")).groupBy("id").agg(
-        # terms in order, so that sums don't depend on the shuffle
-        F.aggregate(F.array_sort(F.collect_list(F.struct("term", "part"))), F.lit(0.0), lambda s, x: s + x["part"]).alias("score"), F.first("preview").alias("preview")
-    )
-    return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+    # terms in order, so that sums don't depend on the shuffle
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("term", "part"))), F.lit(0.0), lambda s, x: s + x["part"]).alias("score")
+    if "len" not in postings.columns:
+        hits = hits.join(docs.select("id", "len"), "id")
+    scored = hits.select("id", "term", part.alias("part")).groupBy("id").agg(total)
+    best = scored.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+    return docs.select("id", "preview").join(F.broadcast(best), "id").orderBy(F.desc("score"), "id").select("id", "score", "preview")
 
 
 def find_by_tag(folds: DataFrame, kind: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import any_of, first_sentence, prefix, trim
 from .agent import ERROR_PATTERNS
 
+#: Files that a text names, and how lines of decisions and next steps begin.
 FILE = r"[A-Za-z0-9_./\-]+\.(?:rs|py|ts|tsx|js|jsx|go|java|kt|rb|c|h|cpp|hpp|md|toml|yaml|yml|json|sql|sh)\b"
 DECISIONS = ["decision:", "decided", "we will ", "we chose ", "chose ", "agreed "]
 NEXT = ["todo", "next:", "next step"]
@@ -22,20 +23,30 @@ def line_class(line: Column) -> Column:
 
 
 def summarize(messages: DataFrame) -> DataFrame:
-    """(conv_id, intent, files, decisions, errors, next_steps, turns_covered)."""
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split("content", r"\r?\n")).alias("at", "line")).withColumn("line", trim(F.col("line"))).where("line <> ''")
-    lines = lines.withColumn("class", line_class(F.col("line"))).where("class is not null")
-    lines = lines.withColumn("line", F.when(F.col("class") == "error", prefix(F.col("line"), 300)).otherwise(F.col("line")))
-    once = lines.groupBy("conv_id", "class", "line").agg(F.min(F.struct("turn", "at")).alias("seen"))
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "class").orderBy("seen"))).where(F.col("n") <= MOST)
-    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("class") == c, F.struct("seen", "line")))), lambda x: x["line"])
-    notes = ranked.groupBy("conv_id").agg(of("decision").alias("decisions"), of("error").alias("errors"), of("next").alias("next_steps"))
-    files = messages.select("conv_id", F.explode(F.regexp_extract_all("content", F.lit(FILE), 0)).alias("file")).groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_set("file")), 1, MOST_FILES).alias("files"))
-    user = F.when(F.col("role") == "user", F.struct("turn", prefix(first_sentence(F.col("content")), 200).alias("intent")))
-    base = messages.groupBy("conv_id").agg(F.coalesce(F.min(user)["intent"], F.lit("")).alias("intent"), F.count("*").alias("turns_covered"))
-    none = F.array().cast("array<string>")
-    out = base.join(files, "conv_id", "left").join(notes, "conv_id", "left")
-    return out.select("conv_id", "intent", *[F.coalesce(c, none).alias(c) for c in ("files", "decisions", "errors", "next_steps")], "turns_covered")
+    """(conv_id, intent, files, decisions, errors, next_steps, turns_covered).
+
+    Lines and files are found in the message's row; one shuffle by conversation
+    and class brings equal lines together, a second one the conversation's.
+    """
+    text = F.col("content")
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x, i: F.struct(i.alias("at"), trim(x).alias("line"))), lambda x: F.length(x["line"]) > 0)
+    noted = F.filter(F.transform(lines, lambda x: F.struct(line_class(x["line"]).alias("class"), F.when(line_class(x["line"]) == "error", prefix(x["line"], 300)).otherwise(x["line"]).alias("line"), x["at"].alias("at"))), lambda x: x["class"].isNotNull())
+    files = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(FILE), 0)), lambda f: F.struct(F.lit("file").alias("class"), f.alias("line"), F.lit(0).alias("at")))
+    intent = F.when(F.col("role") == "user", F.array(F.struct(F.lit("intent").alias("class"), prefix(first_sentence(text), 200).alias("line"), F.lit(0).alias("at"))))
+    # a row without notes still counts as a turn
+    turn = F.array(F.struct(F.lit("turn").alias("class"), F.lit("").alias("line"), F.lit(0).alias("at")))
+    kinds = "array<struct<class:string,line:string,at:int>>"
+    each = messages.select("conv_id", "turn", F.explode(F.concat(turn, F.coalesce(noted.cast(kinds), F.array().cast(kinds)), F.coalesce(files.cast(kinds), F.array().cast(kinds)), F.coalesce(intent.cast(kinds), F.array().cast(kinds)))).alias("x")).select("conv_id", "turn", "x.*")
+    # intents and files keep their own order: by turn, and by name
+    once = each.groupBy("conv_id", "class", "line").agg(F.min(F.struct("turn", "at")).alias("seen"), F.count("*").alias("n"))
+    by = Window.partitionBy("conv_id", "class").orderBy(F.when(F.col("class") == "file", F.col("line")), "seen")
+    most = F.when(F.col("class") == "file", MOST_FILES).otherwise(MOST)
+    ranked = once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("class") == c, F.struct("rank", "line")))), lambda x: x["line"])
+    return ranked.groupBy("conv_id").agg(
+        F.coalesce(F.get(of("intent"), F.lit(0)), F.lit("")).alias("intent"), of("file").alias("files"), of("decision").alias("decisions"), of("error").alias("errors"), of("next").alias("next_steps"),
+        F.sum(F.when(F.col("class") == "turn", F.col("n"))).alias("turns_covered"),
+    )
 
 
 def markdown(row: DataFrame) -> Column:

@@ -15,7 +15,7 @@ from ..operators.conversation import CompactConfig, compact
 from ..sources import store
 from ..streaming import session
 from . import pipeline
-from .views import AGENT_MESSAGES, CONVERSATIONS, EVENT_ITEMS, EVENT_VALUES, LOG_LINES, PARAGRAPHS, PAYLOADS, TABLE_PAYLOADS, cte, view
+from .views import AGENT_MESSAGES, CONVERSATIONS, EVENT_ITEMS, EVENT_VALUES, LOG_LINES, PARAGRAPHS, PARAGRAPHS_SQL, PAYLOADS, TABLE_PAYLOADS, cte, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +32,7 @@ def _query(sql: str | None = None, needs: tuple[tuple[str, str], ...] = ()):
     return add
 
 
-A, L, V, I, P, C, Y = ("am", AGENT_MESSAGES), ("ll", LOG_LINES), ("ev", EVENT_VALUES), ("ei", EVENT_ITEMS), ("pa", PARAGRAPHS), ("cv", CONVERSATIONS), ("pl", PAYLOADS)
+A, L, V, I, P, C, Y = ("am", AGENT_MESSAGES), ("ll", LOG_LINES), ("ev", EVENT_VALUES), ("ei", EVENT_ITEMS), ("pa", PARAGRAPHS_SQL), ("cv", CONVERSATIONS), ("pl", PAYLOADS)
 _TOK = "greatest(1, CAST(ceil(octet_length(encode(content)) / 4.0) AS BIGINT))"
 _ERR = "(" + " OR ".join(f"contains(content, '{p}')" for p in agent.ERROR_PATTERNS) + ")"
 _TYPE = f"CASE WHEN role = 'system' THEN 'system' WHEN role IN ('tool', 'function') THEN CASE WHEN coalesce(tool_status = 'error', false) OR {_ERR} THEN 'tool_result_error' ELSE 'tool_result_success' END WHEN role IN ('user', 'assistant') THEN role ELSE 'unknown' END"
@@ -417,7 +417,7 @@ tf AS (SELECT id, term, count(*) AS tf FROM s WHERE term IN ('the', 'then', 'eau
 sc AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))) AS score FROM tf JOIN df USING (term) JOIN dl USING (id), tot GROUP BY id)
 SELECT id, round(score, 6) AS score FROM sc ORDER BY score DESC, id LIMIT 10""", (C,))
 def recall_search(spark, d):
-    docs, postings = recall.build(_recall_docs(spark, d), "id", "content")
+    docs, postings = recall.write_index(_recall_docs(spark, d), "id", "content")
     return recall.search(docs, postings, "the then: eau que", 10).select("id", F.round("score", 6).alias("score"))
 
 

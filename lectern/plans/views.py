@@ -45,8 +45,12 @@ SELECT user_id AS array_id, CAST(row_number() OVER (PARTITION BY user_id ORDER B
 FROM {events}
 """
 
+#: Lines of a document as its paragraphs, in a bounded text for each document.
 PARAGRAPHS = """
-SELECT concat(source, '-', lang) AS text_id, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS INT) AS pos, text AS para FROM {documents}
+SELECT text_id, CAST(pos AS INT) AS pos, para FROM (SELECT doc_id AS text_id, posexplode(split(coalesce(text, ''), '\\n')) AS (pos, para) FROM {documents}) p
+"""
+PARAGRAPHS_SQL = """
+SELECT text_id, CAST(k - 1 AS INT) AS pos, ls[k] AS para FROM (SELECT doc_id AS text_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {documents}) a) b
 """
 
 CONVERSATIONS = """

@@ -47,6 +47,17 @@ def test_one_pass_drop_equals_the_loop():
         assert cascade.drop(messages, limit) == naive_drop(messages, limit, tail)
 
 
+def test_summarizer_of_ones_own():
+    """Its text heads the history; where it fails, first sentences do."""
+    rng = random.Random(5)
+    messages = [Message(rng.choice(["user", "assistant"]), f"Turn {k}. More.") for k in range(30)]
+    config = CompactConfig(limit=120, summarizer=lambda old: f"{len(old)} turns")
+    head = compact_one(messages, config)["messages"][0]
+    assert head.content.startswith(conversation.SUMMARY + "\n") and head.content.endswith("turns")
+    failing = compact_one(messages, CompactConfig(limit=120, summarizer=lambda old: 1 / 0))["messages"][0]
+    assert failing.content.startswith(conversation.CONTEXT + ": Turn 0")
+
+
 def test_budget_is_met_or_nothing_changes():
     rng = random.Random(12)
     for _ in range(300):

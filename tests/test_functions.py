@@ -1,6 +1,8 @@
 """Column functions against plain Python."""
 
+import base64
 import random
+import tempfile
 
 import pytest
 from hypothesis import given, settings
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import detect, focus, keys, text, tokens
 from lectern.operators import agent, conversation, kernels, logs, recall, series, sizer, tags
-from lectern.plans import pipeline
-from lectern.sources import store
+from lectern.plans import extensions, pipeline
+from lectern.sources import shared, store
 
 ODD = ["", " ", "a" * 3000, "\x00\x01", "[1, 2", '[{"a": 1}]', "[]", '{"a": 1}', "😀é日本" * 300, "a\r\nb\rc\n", "<html><body><div>", "Error: x", "x\n\n\nx", "diff --git a b\n--- a/x\n+y\n-z\n+w", "INFO a\nERROR b", "def f():\n  pass\nclass A:\nimport os"]
 
@@ -109,6 +111,71 @@ def test_store(spark):
         store.EngineConfig.from_env({"LECTERN_TTL": "x"})
 
 
+def test_table_store(spark, tmp_path):
+    """Versions of a folder: saved, replaced, bounded, deleted, expired."""
+    own = store.EngineConfig.from_env({"LECTERN_ORIGINALS": str(tmp_path / "o"), "LECTERN_CAPACITY": "2", "LECTERN_TTL": "50"}).open(spark)
+    at = lambda rows, t: store.entries(spark.createDataFrame(rows, "id string, original string"), "id", "original", 50).withColumn("created_at", F.timestamp_seconds(F.unix_timestamp() + t))
+    own.save(at([("a", "1")], -3))
+    own.save(at([("b", "2")], -2))
+    own.save(at([("a", "3")], -1))
+    assert {(r.id, r.original) for r in own.table().collect()} == {("a", "3"), ("b", "2")}  # saving again refreshes a
+    own.save(at([("c", "4")], 0))
+    assert {r.id for r in own.table().collect()} == {"a", "c"}
+    own.delete(spark.createDataFrame([("a",)], "id string"))
+    assert [r.original for r in own.retrieve(spark.createDataFrame([("<<ccr:c>>",)], "q string"), "q").collect()] == ["4"]
+    assert own.table(F.timestamp_seconds(F.unix_timestamp() + 100)).count() == 0 and len(list((tmp_path / "o").iterdir())) <= 2
+    with pytest.raises(ValueError):
+        store.EngineConfig().open(spark)
+
+
+def test_compressors_of_ones_own(spark):
+    rows = spark.createDataFrame([(1, 0, "plain words"), (1, 1, '[{"a": 1}]')], "conv_id long, turn int, content string")
+    own = extensions.Compressor("upper", lambda text, focus, reversible: (text.upper(), []), ("text",))
+    done = extensions.Pipeline().add_compressor(own).add_step(lambda df: df.where("turn >= 0")).with_options(reversible=False).run(rows)
+    assert {r.turn: (r.compressor, r.content) for r in done.messages.collect()} == {0: ("upper", "PLAIN WORDS"), 1: ("smart_crusher", '[{"a":1}]')}
+    assert pipeline.CompressConfig(enabled=("dedup_ref", "upper"), compressors=(own,)).enabled[0] == "dedup_ref"
+    bad = extensions.Compressor("bad", lambda *a: 1 / 0, ("text",))
+    kept = extensions.Pipeline().add_compressor(bad).run(rows).messages.where("turn = 0").first()
+    assert kept.content == "plain words" and "ZeroDivisionError" in kept.failed
+
+
+def test_dedup_kernel_keeps_what_it_saw():
+    para, seen = "p" * 60, set()
+    text = f"{para}\n\nother\n\n{para}\n\n{para}"
+    out, saved = kernels.dedup_ref(text, seen=seen)
+    assert out == f"{para}\n\nother\n{kernels.marker(kernels.key(para))}" and saved[0] == (kernels.key(para), para)
+    assert kernels.dedup_ref(para, seen=seen)[0] == "\n[dedup: 60 bytes of repeated content]"
+
+
+def test_token_counters(spark):
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"th": 256, b"the": 257}
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/own.tiktoken"
+        with open(path, "wb") as f:
+            f.writelines(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items())
+        library = tiktoken.Encoding("x", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+        own = {"o200k": (path, r"\S+|\s+")}
+        exact, proxy = extensions.counter_for("gpt-4o-mini", own), extensions.counter_for("claude-x", own)
+        want = [max(1, len(library.encode_ordinary(v))) for v in ODD]
+        assert column(spark, ODD, exact.column) == want == [exact.count(v) for v in ODD] and exact.kind() == ("exact", None, 0.0)
+        assert column(spark, ODD, proxy.column) == [proxy.count(v) for v in ODD] and proxy.kind()[0] == "estimated"
+    assert extensions.counter_for("gpt-4") == extensions.Estimate("gpt-4")
+    assert column(spark, ODD, extensions.Estimate("claude-x").column) == [extensions.Estimate("claude-x").count(v) for v in ODD]
+
+
+def test_alignment(spark):
+    values = [*ODD, ' {"b": 1.0, "a": [2.50, 1e3]} ', "null", "nullify  x", "-", "12 x", '"q"']
+    assert column(spark, values, pipeline.align_text) == [kernels.align(v) for v in values]
+
+
+def test_shared_folder(spark):
+    path = shared.shared_dir(spark)
+    table = shared.materialise(spark.range(3).toDF("n"), "t")
+    assert table.count() == 3 and path != shared.shared_dir(spark) and shared.clean(spark) >= 1
+
+
 def test_unknown_compressor_is_an_error():
     with pytest.raises(ValueError):
         pipeline.CompressConfig(enabled=("nope",))
