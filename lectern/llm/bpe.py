@@ -2,8 +2,10 @@
 
 The merges of a rank file become a ``tokenizers`` BPE model over the usual
 byte-to-character alphabet.  A text is cut by the split pattern, each piece is
-merged by the model, and the ids of a piece are remembered per worker: a
-whitespace-led chunk that occurs again costs one dictionary look-up.
+merged by the model.  Texts of a batch are cut at spaces and the parts numbered
+by Arrow, so that each different part of a batch is looked up once; short parts
+are remembered per worker.  Decimal digits and decoded bytes come from tables by
+Arrow's ``take``, whose offsets are the tokens' byte offsets.
 
 Defined results: a null text counts as empty; an empty text has no tokens;
 strings of special tokens inside a text are ordinary text; repeated rows are
@@ -19,7 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ from tokenizers.models import BPE
 
 from .common import sub_batches
 
-#: Chunks remembered per Python worker, in each of two generations.
-CACHE_CHUNKS = 150_000
+#: Parts between spaces remembered per Python worker by batches of texts.
+CACHE_PARTS = 500_000
+#: Chunks remembered for single texts, in each of two generations.
+CACHE_CHUNKS = 50_000
 #: Longer chunks are encoded but not remembered.
 CACHE_CHARS = 48
 
@@ -97,6 +101,8 @@ class ByteBpe:
         self._first: dict[str, tuple[int, ...]] = {}
         self._led: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
+        self._at: dict[str, int] = {}
+        self._flat, self._ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one match of the pattern, by the model."""
@@ -118,7 +124,7 @@ class ByteBpe:
                 return tuple([t.id for t in self.model.tokenize(self.to_chars[0x20] + part)])
             return tuple(self._piece(" " + part))
         # a word and marks: two matches
-        return (*self._led_ids(body), *self._marks(part[len(body) :]))
+        return (*self._led_word(body), *self._marks(part[len(body) :]))
 
     def _marks(self, run: str) -> tuple[int, ...]:
         return self._first.get(run) or self._remember(self._first, run, tuple(self._piece(run)))
@@ -165,6 +171,50 @@ class ByteBpe:
                 found[i] = self._led_ids(part) if i else self._remember(self._first, part, self._merge(part))
         return list(chain.from_iterable(found))
 
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of ids of each."""
+        split = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
+        sizes = np.asarray(pa.compute.list_value_length(split))
+        coded = split.flatten().dictionary_encode()
+        parts, numbers = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        # parts that don't stand alone after a space, and so the texts that have them
+        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() or _CONTROL.search(p) is not None for p in parts), bool, len(parts))
+        whole = np.logical_or.reduceat(odd[numbers], starts) if len(texts) else np.zeros(0, bool)
+        use = np.ones(len(numbers), bool)
+        use[starts] = False
+        use &= ~np.repeat(whole, sizes)
+        led = np.zeros(len(parts), bool)
+        led[numbers[use]] = True
+        if len(self._at) > CACHE_PARTS:
+            self._at, self._flat, self._ends = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        place = np.fromiter(map(self._at.get, parts, repeat(-1)), np.int64, len(parts))
+        place[~led] = 0
+        missing = np.flatnonzero(place < 0)
+        short = np.fromiter((len(parts[i]) <= CACHE_CHARS for i in missing.tolist()), bool, len(missing))
+        missing, keep, size = missing[np.argsort(~short, kind="stable")], int(short.sum()), len(self._ends) - 1
+        new = [parts[i] for i in missing.tolist()]
+        entries = list(map(self._led_word, new))
+        # first parts follow no space; they, and texts that are encoded as they are, come after the parts
+        entries += [tuple(self.encode(texts[i])) if w else self._first_ids(parts[numbers[starts[i]]]) for i, w in enumerate(whole.tolist())]
+        counts = np.fromiter(map(len, entries), np.int64, len(entries))
+        flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(entries), np.int32, int(counts.sum()))])
+        ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(counts)])
+        place[missing] = size + np.arange(len(missing))
+        self._at.update(zip(new[:keep], range(size, size + keep), strict=True))
+        self._ends = ends[: size + keep + 1]
+        self._flat = flat[: self._ends[-1]]
+        at = place[numbers]
+        at[starts] = size + len(new) + np.arange(len(texts))
+        use[starts] = True
+        counts = np.where(use, ends[at + 1] - ends[at], 0)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(ends[at] - upto[:-1], counts) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.concatenate([starts, [len(numbers)]])])
+
+    def _first_ids(self, part: str) -> tuple[int, ...]:
+        return self._first.get(part) or self._remember(self._first, part, self._merge(part))
+
     def _by_chunk(self, text: str) -> list[int]:
         if _CONTROL.search(text):
             return list(self._merge(text))
@@ -205,19 +255,22 @@ def load(ranks_path: str, pattern: str) -> ByteBpe:
 
 
 def _lists(rows: list[list[int]]) -> pa.Array:
-    ends = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=ends[1:])
-    flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32)
+    return _runs(flat, np.fromiter(map(len, rows), np.int64, len(rows)))
+
+
+def _runs(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], bpe: ByteBpe, with_offsets: bool = False) -> Iterator[pa.RecordBatch]:
     """(id, text) batches to (id, text, ids[, byte_starts, char_starts])."""
     for batch in sub_batches(batches, "text"):
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        rows = [bpe.encode(t) for t in texts]
-        columns = {"id": batch.column(0), "text": batch.column(1), "ids": _lists(rows)}
+        flat, sizes = bpe.encode_batch(texts)
+        columns = {"id": batch.column(0), "text": batch.column(1), "ids": _runs(flat, sizes)}
         if with_offsets:
+            rows = np.split(flat, np.cumsum(sizes)[:-1])
             both = [bpe.offsets(r, t) for r, t in zip(rows, texts, strict=True)]
             columns |= {"byte_starts": _lists([b[0].tolist() for b in both]), "char_starts": _lists([b[1].tolist() for b in both])}
         yield pa.RecordBatch.from_pydict(columns)
@@ -248,26 +301,38 @@ def round_trip_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str
     """Encode and decode each row in one narrow pass and keep only digests.
 
     Columns: the id, ``n_tokens``, ``ids_sha256`` of the decimal ids joined by
-    a space, ``decoded_sha256`` of the decoded bytes.
+    a space, ``decoded_sha256`` of the decoded bytes, and from the tokens' byte
+    offsets ``n_split``, the tokens that start inside a character.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        bpe = load(ranks_path, pattern)
-        decimals, sha = bpe.decimals, hashlib.sha256
+        bpe, sha = load(ranks_path, pattern), hashlib.sha256
+        decimals, table = pa.array([f"{d} " for d in bpe.decimals], pa.large_string()), pa.array(bpe.table, pa.large_binary())
         for batch in encode_batches(batches, bpe):
             lists = batch.column(2)
-            flat, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
-            per_doc = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            ids, ends = lists.values, np.asarray(lists.offsets).tolist()
+            (text, text_at), (raw, raw_at) = (_joined(t.take(ids)) for t in (decimals, table))
+            inside = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum((np.frombuffer(raw, np.uint8)[raw_at[:-1]] & 0xC0) == 0x80, out=inside[1:])
+            spans = list(zip(ends, ends[1:], strict=False))
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": batch.column(0),
-                    "n_tokens": pa.array([len(r) for r in per_doc], pa.int64()),
-                    "ids_sha256": pa.array([sha(" ".join([decimals[i] for i in r]).encode()).hexdigest() for r in per_doc], pa.string()),
-                    "decoded_sha256": pa.array([sha(bpe.decode(r)).hexdigest() for r in per_doc], pa.string()),
+                    "n_tokens": pa.array(np.diff(ends), pa.int64()),
+                    "ids_sha256": pa.array([sha(text[text_at[a] : max(text_at[b] - 1, text_at[a])]).hexdigest() for a, b in spans], pa.string()),
+                    "decoded_sha256": pa.array([sha(raw[raw_at[a] : raw_at[b]]).hexdigest() for a, b in spans], pa.string()),
+                    "n_split": pa.array(np.diff(inside[ends]), pa.int64()),
                 }
             )
 
-    out = rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
     return out.withColumnRenamed("id", id_col)
+
+
+def _joined(tokens: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all tokens in a row, and where each starts, and the end."""
+    _, offsets, data = tokens.buffers()
+    at = np.frombuffer(offsets, np.int64)[tokens.offset : tokens.offset + len(tokens) + 1] if offsets is not None and len(tokens) else np.zeros(len(tokens) + 1, np.int64)
+    return memoryview(data) if data is not None else memoryview(b""), at

@@ -55,7 +55,11 @@ def empty(docs):
 def test_bpe_equals_library_and_round_trips(docs, empty):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = sorted(map(tuple, bpe.round_trip_digests(docs, RANKS, PATTERN).collect()), key=str)
+    found = bpe.round_trip_digests(docs, RANKS, PATTERN)
+    inside = lambda t, ids: sum((b"".join(library.decode_tokens_bytes(ids))[at] & 0xC0) == 0x80 for at in np.cumsum([0, *map(len, library.decode_tokens_bytes(ids))])[:-1])
+    rows = found.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256")).distinct(), ["doc_id", "decoded_sha256"]).collect()
+    assert all(r.n_split == inside(r.t, library.encode_ordinary(r.t)) for r in rows) and sum(r.n_split for r in rows) > 0
+    got = sorted(map(tuple, found.drop("n_split").collect()), key=str)
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = []
     for i, t in corpus():
@@ -72,6 +76,20 @@ def test_bpe_equals_library_and_round_trips(docs, empty):
     assert back[8].decode() == dict(corpus())[8]
 
 
+def test_bpe_of_odd_texts():
+    """Whole batches against the library: spaces in runs and at the ends, control characters, unbroken strings."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    texts = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "\n\na b\n", "x\x1c y", "日本 語 " * 9, "it's 42nd!!", "!" * 400, "e\u0301 x", "\u3000 x\u00a0y", "a\t\tb c", "😀 👩‍👩‍👧 z", "z" * 900]
+    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "é", "Z9", "!", "\x1f", "日", "'s", "\u00a0", "\r\n"]) for _ in range(rng.randrange(30))) for _ in range(600)]
+    b = bpe.load(RANKS, PATTERN)
+    for _ in range(2):
+        flat, sizes = b.encode_batch(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [library.encode_ordinary(t) for t in texts]
+    assert [len(x) for x in b.encode_batch([])] == [0, 0]
+
+
 def test_bpe_stream_joins_split_characters():
     b = bpe.load(RANKS, PATTERN)
     text = "日本語 ñ 😀"
