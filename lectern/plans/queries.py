@@ -188,15 +188,19 @@ def string_anomalies(spark, d):
     return series.string_flags(view(spark, d, PARAGRAPHS), "text_id", "para").select("text_id", "pos", "bad", "odd")
 
 
-@_query(""", g AS (SELECT array_id, idx, unnest(CASE WHEN length(item) <= 3 THEN [item] ELSE list_transform(range(1, length(item) - 2), lambda i: substr(item, i, 4)) END) AS g FROM (SELECT array_id, idx, lower(item) AS item FROM ei)),
+_PRINTS = """, g AS (SELECT array_id, idx, unnest(CASE WHEN length(item) <= 3 THEN [item] ELSE list_transform(range(1, length(item) - 2), lambda i: substr(item, i, 4)) END) AS g FROM (SELECT array_id, idx, lower(item) AS item FROM ei)),
 m AS (SELECT array_id, idx, md5(g) AS h FROM g),
-b AS (SELECT array_id, idx, k, sum(CASE WHEN (('0x' || substr(h, 1 + 4 * CAST(floor((63 - k) / 16) AS INT), 4))::INT >> (k % 16)) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM m, (SELECT unnest(range(0, 64)) AS k) GROUP BY ALL)
-SELECT array_id, idx, CAST(sum(CASE WHEN v > 0 THEN CASE WHEN k = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(k AS INT) END ELSE 0 END) AS BIGINT) AS print FROM b GROUP BY array_id, idx""", (I,))
+b AS (SELECT array_id, idx, k, sum(CASE WHEN (('0x' || substr(h, 1 + 4 * CAST(floor((63 - k) / 16) AS INT), 4))::INT >> (k % 16)) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM m, (SELECT unnest(range(0, 64)) AS k) GROUP BY ALL),
+pr AS (SELECT array_id, idx, CAST(sum(CASE WHEN v > 0 THEN CASE WHEN k = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(k AS INT) END ELSE 0 END) AS BIGINT) AS print FROM b GROUP BY array_id, idx)"""
+
+
+@_query(_PRINTS + " SELECT * FROM pr", (I,))
 def simhash_fingerprint(spark, d):
     return view(spark, d, EVENT_ITEMS).select("array_id", "idx", series.simhash(F.col("item")).alias("print"))
 
 
-@_query()
+@_query(_PRINTS + """, li AS (SELECT array_id, list(print ORDER BY idx) AS ps FROM pr GROUP BY array_id)
+SELECT array_id, CAST(len(list_reduce(ps, lambda acc, p: CASE WHEN len(list_filter(acc, lambda q: bit_count(xor(p[1], q)) <= 3)) > 0 THEN acc ELSE list_concat(acc, p) END, CAST([] AS BIGINT[]))) AS INT) AS clusters FROM (SELECT array_id, list_transform(ps, lambda p: [p]) AS ps FROM li)""", (I,))
 def simhash_clusters(spark, d):
     rows = view(spark, d, EVENT_ITEMS).select("array_id", "idx", series.simhash(F.col("item")).alias("print"))
     prints = F.transform(F.array_sort(F.collect_list(F.struct("idx", "print"))), lambda x: x["print"])
@@ -360,7 +364,19 @@ def band_assignment(spark, d):
     return bands.assign(view(spark, d, AGENT_MESSAGES), recent=4, middle=10).select("conv_id", "turn", "band")
 
 
-@_query()
+_HISTORY = f""", i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n FROM am),
+a AS (SELECT *, max(CASE WHEN role NOT IN ('tool', 'function') AND idx <= greatest(n - 14, 0) THEN idx END) OVER (PARTITION BY conv_id) AS al, min(CASE WHEN pinned THEN idx END) OVER (PARTITION BY conv_id) AS pin FROM i),
+m AS (SELECT *, CASE WHEN pin IS NOT NULL AND pin < coalesce(al, 0) THEN pin ELSE coalesce(al, 0) END AS start FROM a),
+bd AS (SELECT *, n > 4 AND idx < n - 4 AND idx < start AS old FROM m),
+s AS (SELECT conv_id, turn, trim(regexp_extract(content, '^([^.!?]*)', 1)) AS s FROM bd WHERE old),
+j AS (SELECT conv_id, string_agg(s, ' | ' ORDER BY turn) AS x FROM s WHERE s <> '' GROUP BY conv_id),
+h AS (SELECT conv_id, '[Earlier conversation context]: ' || CASE WHEN octet_length(encode(x)) > 800 THEN {_prefix('x', 800)} || '…' ELSE x END AS y FROM j),
+w AS (SELECT conv_id, -1 AS turn, 'system' AS role, CASE WHEN octet_length(encode(y)) > 800 AND NOT regexp_matches(y, '{_LOGRE}') THEN {_prefix('y', 800)} || '... [truncated]' ELSE y END AS content FROM h
+  UNION ALL SELECT conv_id, turn, role, content FROM bd WHERE NOT old)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS idx, role, content FROM w"""
+
+
+@_query(_HISTORY, (A,))
 def compress_history(spark, d):
     return bands.compress_history(view(spark, d, AGENT_MESSAGES), recent=4, middle=10).select("conv_id", "idx", "role", "content")
 
@@ -531,7 +547,9 @@ def session_replay(spark, d):
     return rows.select("conv_id", "step", "messages", "tokens", "new_folds", F.size("evicted").alias("evicted"), "error")
 
 
-@_query()
+@_query(f""", r AS (SELECT content, CASE WHEN trim(content) = '' THEN '' WHEN octet_length(encode(content)) > 800 THEN {_prefix('content', 800)} || '... [truncated]' ELSE content END AS reduced FROM cv),
+t AS (SELECT count(*) AS messages, CAST(sum({_TOK}) AS BIGINT) AS original_tokens, CAST(sum(floor(octet_length(encode(reduced)) / 4)) AS BIGINT) AS compressed_tokens FROM r)
+SELECT compressor, messages, original_tokens, compressed_tokens, compressed_tokens / original_tokens AS ratio, 0 AS errors FROM t, (VALUES ('semantic'), ('mixed')) v(compressor)""", (C,))
 def pipeline_stats(spark, d):
     return pipeline.compress(view(spark, d, CONVERSATIONS)).stats
 
