@@ -1,17 +1,25 @@
 """Log reduction in long form: (log_id, line_no, line) rows.
 
 Traces need a state from line to line and stay in the kernel
-(:func:`lectern.operators.kernels.trace_flags`); everything else is windows.
+(:func:`lectern.operators.kernels.trace_flags`, whole texts by :func:`traces`); everything else is windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import any_of
+from ..sources.batches import cut_batches
+from . import kernels
 from .kernels import LEVELS, LOG_FORMATS, SCORES
 
+BATCH_BYTES = 4 << 20
+
 SUMMARY_PATTERN = (
     r"^(?:===|---|\d+ (?:passed|failed|skipped|error|warning)|(?:Tests?|Suites?)[ :]\s*[0-9]|(?:TOTAL|Total|Summary))"
     r"|^(?:Build|Compile)(?=.*(?:succeeded|failed|complete))|^Test(?!s?[ :])(?=.*(?:succeeded|failed|complete))"
@@ -94,3 +102,16 @@ def footers(selected: DataFrame) -> DataFrame:
     parts = F.array_compact(F.array(*[F.when(F.col(x) > 0, F.concat(F.col(x).cast("string"), F.lit(f" {x.upper()}"))) for x in ("error", "fail", "warn", "info")]))
     note = F.when(F.size(parts) > 0, F.concat(F.lit("["), (F.col("lines") - F.col("kept")).cast("string"), F.lit(" lines omitted: "), F.array_join(parts, ", "), F.lit("]")))
     return counts.select("log_id", "lines", "kept", note.alias("note"))
+
+
+def traces(rows: DataFrame, text: str) -> DataFrame:
+    """``traces``: numbers of the lines inside stack traces, from 0; none for a null text."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("traces", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut_batches(batches, text, BATCH_BYTES):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            at = [[i for i, inside in enumerate(kernels.trace_flags(t.split("\n"))) if inside] if t else [] for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.list_(pa.int32()))], [*batch.schema.names, "traces"])
+
+    return rows.mapInArrow(run, schema)

@@ -95,11 +95,16 @@ def clusters(prints: Column, near: int = 3) -> Column:
 
 
 def bigram_curve(rows: DataFrame, id_: str, idx: str, text: str) -> DataFrame:
-    """(id, idx, distinct): distinct lower-case word pairs seen up to each item."""
-    words = F.array_remove(F.split(F.lower(text), r"\s+"), "")
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat(F.get(words, i - 1), F.lit(" "), F.get(words, i)))).otherwise(F.transform(words, lambda x: F.concat(x, F.lit(" "))))
-    each = rows.select(id_, idx, F.explode_outer(pairs).alias("pair"))
-    first = each.groupBy(id_, "pair").agg(F.min(idx).alias(idx)).where("pair is not null").groupBy(id_, idx).agg(F.count("*").alias("new"))
+    """(id, idx, distinct): distinct lower-case word pairs seen up to each item.
+
+    An item of one word counts as that word alone, one without words (or null) as the empty word.
+    """
+    # a column of its own, so that a text is split once and not again for each pair
+    held = rows.select(id_, idx, F.array_remove(F.split(F.lower(text), r"\s+"), "").alias("words"))
+    words, n = F.col("words"), F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array(F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" "))))
+    each = held.select(id_, idx, F.explode(pairs).alias("pair"))
+    first = each.groupBy(id_, "pair").agg(F.min(idx).alias(idx)).groupBy(id_, idx).agg(F.count("*").alias("new"))
     all_ = rows.select(id_, idx).distinct().join(first, [id_, idx], "left")
     return all_.select(id_, idx, F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy(id_).orderBy(idx)).alias("distinct"))
 

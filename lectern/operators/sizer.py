@@ -32,12 +32,12 @@ def clusters(prints: list[int], near: int = 3) -> int:
 
 
 def bigram_curve(items: list[str]) -> list[int]:
-    """Distinct lower-case word pairs seen up to each item."""
+    """Distinct lower-case word pairs seen up to each item; one without words is the empty word."""
     seen: set[tuple[str, str]] = set()
     out = []
     for item in items:
         w = item.lower().split()
-        seen |= set(zip(w, w[1:], strict=False)) if len(w) > 1 else {(x, "") for x in w}
+        seen |= set(zip(w, w[1:], strict=False)) if len(w) > 1 else {(w[0] if w else "", "")}
         out.append(len(seen))
     return out
 

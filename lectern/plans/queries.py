@@ -148,13 +148,13 @@ def detect_line_counts(spark, d):
 
 
 _TERMS = focus.terms(QUESTION)
-_REL = " + ".join(f"CAST(contains(lower(content), '{t}') AS INT)" for t in _TERMS)
+_REL = " + ".join(f"CAST(contains(lower(coalesce(text, '')), '{t}') AS INT)" for t in _TERMS)
 
 
-@_query(f"SELECT conv_id, turn, ({_REL}) > 0 AS matches, CAST(100.0 * ({_REL}) AS DOUBLE) AS relevance FROM am", (A,))
+@_query(f"SELECT doc_id, ({_REL}) > 0 AS matches, CAST(100.0 * ({_REL}) AS DOUBLE) AS relevance FROM documents")
 def focus_relevance(spark, d):
-    c = F.col("content")
-    return view(spark, d, AGENT_MESSAGES).select("conv_id", "turn", focus.matches(c, _TERMS).alias("matches"), focus.relevance(c, _TERMS).cast("double").alias("relevance"))
+    c = F.coalesce("text", F.lit(""))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", focus.matches(c, _TERMS).alias("matches"), focus.relevance(c, _TERMS).cast("double").alias("relevance"))
 
 
 @_query("SELECT series_id, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS deviation, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75 FROM ev GROUP BY series_id", (V,))
@@ -207,22 +207,23 @@ def simhash_clusters(spark, d):
     return rows.groupBy("array_id").agg(series.clusters(prints).alias("clusters"))
 
 
-_BIGRAMS = """, w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '') AS ws FROM am),
-b AS (SELECT conv_id, turn, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE list_transform(ws, lambda x: x || ' ') END) AS p FROM w),
-f AS (SELECT conv_id, turn, count(*) AS n FROM (SELECT conv_id, p, min(turn) AS turn FROM b GROUP BY conv_id, p) GROUP BY conv_id, turn),
-c AS (SELECT conv_id, turn, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS "distinct" FROM w LEFT JOIN f USING (conv_id, turn))"""
+_BIGRAMS = """, w AS (SELECT text_id, pos, list_filter(string_split_regex(lower(para), '\\s+'), lambda x: x <> '') AS ws FROM pa),
+b AS (SELECT text_id, pos, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE [coalesce(ws[1], '') || ' '] END) AS p FROM w),
+f AS (SELECT text_id, pos, count(*) AS n FROM (SELECT text_id, p, min(pos) AS pos FROM b GROUP BY text_id, p) GROUP BY text_id, pos),
+c AS (SELECT text_id, pos, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY text_id ORDER BY pos) AS BIGINT) AS "distinct" FROM w LEFT JOIN f USING (text_id, pos))"""
 
 
-@_query(_BIGRAMS + " SELECT * FROM c", (A,))
+@_query(_BIGRAMS + " SELECT * FROM c", (P,))
 def bigram_curve(spark, d):
-    return series.bigram_curve(view(spark, d, AGENT_MESSAGES), "conv_id", "turn", "content")
+    return series.bigram_curve(view(spark, d, PARAGRAPHS), "text_id", "pos", "para")
 
 
-@_query(_BIGRAMS + """, k AS (SELECT conv_id, row_number() OVER o - 1 AS i, count(*) OVER p AS n, "distinct" AS y, min("distinct") OVER p AS lo, max("distinct") OVER p AS hi FROM c WINDOW p AS (PARTITION BY conv_id), o AS (PARTITION BY conv_id ORDER BY turn)),
-a AS (SELECT *, round(CASE WHEN hi <> lo THEN (y - lo) / (hi - lo) - i / (n - 1) END, 9) AS above FROM k)
-SELECT conv_id, CAST(CASE WHEN max(n) < 3 THEN NULL WHEN max(hi - lo) = 0 THEN 1 WHEN max(above) >= 0.05 THEN arg_max(i, above * 1000000 - i / 1000000.0) + 1 END AS INT) AS knee FROM a GROUP BY conv_id""", (A,))
+@_query(_BIGRAMS + """, k AS (SELECT text_id, row_number() OVER o - 1 AS i, count(*) OVER p AS n, "distinct" AS y, min("distinct") OVER p AS lo, max("distinct") OVER p AS hi FROM c WINDOW p AS (PARTITION BY text_id), o AS (PARTITION BY text_id ORDER BY pos)),
+a AS (SELECT *, CASE WHEN hi <> lo THEN (y - lo) / (hi - lo) - i / (n - 1) END AS above FROM k),
+m AS (SELECT *, max(above) OVER (PARTITION BY text_id) AS top FROM a)
+SELECT text_id, CAST(CASE WHEN max(n) < 3 THEN NULL WHEN max(hi - lo) = 0 THEN 1 WHEN max(top) >= 0.05 THEN min(i) FILTER (above = top) + 1 END AS INT) AS knee FROM m GROUP BY text_id""", (P,))
 def knee(spark, d):
-    return series.knee(series.bigram_curve(view(spark, d, AGENT_MESSAGES), "conv_id", "turn", "content"), "conv_id", "turn", "distinct")
+    return series.knee(series.bigram_curve(view(spark, d, PARAGRAPHS), "text_id", "pos", "para"), "text_id", "pos", "distinct")
 
 
 _LEVEL = "CASE WHEN contains(upper(line), 'ERROR') OR contains(upper(line), 'FATAL') OR contains(upper(line), 'CRITICAL') THEN 'error' WHEN contains(upper(line), 'FAIL') THEN 'fail' WHEN contains(upper(line), 'WARN') THEN 'warn' WHEN contains(upper(line), 'INFO') THEN 'info' WHEN contains(upper(line), 'DEBUG') THEN 'debug' WHEN contains(upper(line), 'TRACE') THEN 'trace' ELSE 'unknown' END"
@@ -284,6 +285,21 @@ def dedup_ref(spark, d):
     return paragraphs.dedup_ref(view(spark, d, PARAGRAPHS))
 
 
+@_query()
+def stack_traces(spark, d):
+    """The lines of every payload that stand inside a stack trace."""
+    rows = logs.traces(view(spark, d, TABLE_PAYLOADS), "content")
+    return rows.select("source", "payload_id", F.size("traces").alias("n_lines"), F.array_join("traces", ",").alias("lines"))
+
+
+@_query()
+def code_strip(spark, d):
+    """Every payload through the code reducer, whatever its route."""
+    rows = view(spark, d, TABLE_PAYLOADS).withColumn("compressor", F.lit("ast_code"))
+    out = pipeline.reduce(rows, pipeline.CompressConfig())
+    return out.select("source", "payload_id", F.col("reduced").alias("content"), F.get("saved", F.lit(0))["id"].alias("ccr_id"))
+
+
 @_query()
 def payload_reduction(spark, d):
     """All payloads of the tables, and the literals, through their kernels."""
@@ -414,24 +430,23 @@ def find_by_tag(spark, d):
     return recall.find_by_tag(tags.tags(view(spark, d, AGENT_MESSAGES), ["conv_id"]), "file_paths", "SRC/M3/job.py").select("conv_id")
 
 
-_WORDS = r""", t AS (SELECT conv_id || '-' || turn AS id, unnest(list_filter(list_transform(string_split_regex(content, '[\s"''`(),;:\[\]{}=<>|!?*&@#%+~^$]+'), lambda x: regexp_replace(x, '^[^\pL\pN/._\\-]+|[^\pL\pN/._\\-]+$', '', 'g')), lambda x: length(regexp_replace(x, '[^\pL\pN]', '', 'g')) >= 2)) AS tok FROM cv),
+_WORDS = r"""WITH cv AS (SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS content FROM documents), t AS (SELECT id, unnest(list_filter(list_transform(string_split_regex(content, '[\s"''`(),;:\[\]{}=<>|!?*&@#%+~^$]+'), lambda x: regexp_replace(x, '^[^\pL\pN/._\\-]+|[^\pL\pN/._\\-]+$', '', 'g')), lambda x: length(regexp_replace(x, '[^\pL\pN]', '', 'g')) >= 2)) AS tok FROM cv),
 s AS (SELECT id, lower(tok) AS term FROM t UNION ALL SELECT id, p AS term FROM (SELECT id, tok, unnest(list_transform(string_split_regex(regexp_replace(tok, '([\p{Ll}\pN])(\p{Lu})', '\1/\2', 'g'), '[/._\\-]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS p FROM t) WHERE p <> lower(tok) AND length(p) >= 2)"""
 
 
 def _recall_docs(spark, d):
-    return view(spark, d, CONVERSATIONS).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "content")
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
 
 
-@_query(_WORDS + " SELECT id, term, count(*) AS tf FROM s GROUP BY id, term", (C,))
+@_query(_WORDS + " SELECT id, term, count(*) AS tf FROM s GROUP BY id, term")
 def recall_terms(spark, d):
     return recall.build(_recall_docs(spark, d), "id", "content")[1]
 
 
-@_query(_WORDS + """, ln AS (SELECT conv_id || '-' || turn AS id FROM cv),
-dl AS (SELECT ln.id, count(s.term) AS len FROM ln LEFT JOIN s ON s.id = ln.id GROUP BY ln.id), tot AS (SELECT count(*) AS n, avg(len) AS av FROM dl),
+@_query(_WORDS + """, dl AS (SELECT ln.id, count(s.term) AS len FROM cv ln LEFT JOIN s ON s.id = ln.id GROUP BY ln.id), tot AS (SELECT count(*) AS n, avg(len) AS av FROM dl),
 tf AS (SELECT id, term, count(*) AS tf FROM s WHERE term IN ('the', 'then', 'eau', 'que') GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))) AS score FROM tf JOIN df USING (term) JOIN dl USING (id), tot GROUP BY id)
-SELECT id, round(score, 6) AS score FROM sc ORDER BY score DESC, id LIMIT 10""", (C,))
+SELECT id, round(score, 6) AS score FROM sc ORDER BY score DESC, id LIMIT 10""")
 def recall_search(spark, d):
     docs, postings = recall.write_index(_recall_docs(spark, d), "id", "content")
     return recall.search(docs, postings, "the then: eau que", 10).select("id", F.round("score", 6).alias("score"))

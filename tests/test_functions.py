@@ -189,3 +189,39 @@ def test_kernels_fail_closed(value, name):
     if error:
         assert out == value and not saved
     assert all(k == kernels.key(v) for k, v in saved)
+
+
+def test_bigram_curve_and_knee(spark):
+    """Blank and null items count once as the empty word; of equal heights the first is the knee."""
+
+    def curve(items):
+        seen, out = set(), []
+        for item in items:
+            words = (item or "").lower().split()
+            seen |= set(zip(words, words[1:], strict=False)) if len(words) > 1 else {(words[0] if words else "", "")}
+            out.append(len(seen))
+        return out
+
+    def turn(ys):
+        if len(ys) < 3 or ys[0] == ys[-1]:
+            return None if len(ys) < 3 else 1
+        high = [(y - ys[0]) / (ys[-1] - ys[0]) - i / (len(ys) - 1) for i, y in enumerate(ys)]
+        return high.index(max(high)) + 1 if max(high) >= 0.05 else None
+
+    rng = random.Random(23)
+    some = ["", "  ", None, "a", "A b", "a b c", "b c", "c  d\te f", "g", "a b a b"]
+    lists = [[rng.choice(some) for _ in range(rng.randint(1, 14))] for _ in range(60)]
+    frame = spark.createDataFrame([(k, i, x) for k, items in enumerate(lists) for i, x in enumerate(items)], "id int, idx int, text string")
+    rows = series.bigram_curve(frame, "id", "idx", "text")
+    got = {k: [] for k in range(len(lists))}
+    for r in rows.orderBy("id", "idx").collect():
+        got[r.id].append(r.distinct)
+    assert got == {k: curve(items) for k, items in enumerate(lists)}
+    assert got == {k: sizer.bigram_curve([x or "" for x in items]) for k, items in enumerate(lists)}
+    assert {r.id: r.knee for r in series.knee(rows, "id", "idx", "distinct").collect()} == {k: turn(curve(items)) for k, items in enumerate(lists)}
+
+
+def test_traces_of_whole_texts(spark):
+    rows = [(1, "INFO a\nTraceback (most recent call last):\n  File \"a.py\", line 3, in run\nValueError: bad\n\nINFO b"), (2, "no trace"), (3, ""), (4, None), (5, "x" * 5_000_000)]
+    got = {r.id: r.traces for r in logs.traces(spark.createDataFrame(rows, "id int, text string"), "text").select("id", "traces").collect()}
+    assert got == {1: [i for i, f in enumerate(kernels.trace_flags(rows[0][1].split("\n"))) if f], 2: [], 3: [], 4: [], 5: []} and got[1][:2] == [1, 2]

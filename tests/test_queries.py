@@ -53,3 +53,14 @@ def test_payloads_are_whole_tables(spark, con):
     given = {r.payload_id: r.content for r in view(spark, SF, TABLE_PAYLOADS).where("source = 'event_items'").collect()}
     assert given == {k: f"[{v}]" for k, v in arrays.items()}
     assert {r.compressor for r in routes if r.source == "event_items"} == {"smart_crusher"}
+
+
+def test_code_and_traces_cover_whole_tables(spark, con):
+    """Comments go from the code literals, the five traces are found, and no payload is left out."""
+    whole = {(r.source, r.payload_id): r.content for r in view(spark, SF, TABLE_PAYLOADS).collect()}
+    code = {(r.source, r.payload_id): r.content for r in QUERIES["code_strip"](spark, SF).collect()}
+    traces = {(r.source, r.payload_id): r for r in QUERIES["stack_traces"](spark, SF).collect()}
+    assert set(code) == set(traces) == set(whole)
+    assert all("# comment" not in code["literal", k] and "// note" not in code["literal", k] for k in (4, 10, 11, 13, 14))
+    assert code["literal", 4] == "import os\ndef f(x):\n\n    return x\nclass A:\n    pass"
+    assert {k for (s, k), r in traces.items() if s == "literal" and r.n_lines} == {15, 16, 17, 18, 19}
